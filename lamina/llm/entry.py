@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ogg, sharding
+from . import ogg, quality, sharding, simhash
 
 
 def queries():
     return {
         "op4_ogg_media": ogg.op4_ogg_media,
+        "op5_ngram_quality": quality.op5_ngram_quality,
+        "op7_simhash_groups": simhash.op7_simhash_groups,
         "op10_rendezvous_shards": sharding.op10_rendezvous_shards,
     }
 
