@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ogg, quality, sharding, simhash, substrings
+from . import ogg, pii, quality, sharding, simhash, substrings
 
 
 def queries():
     return {
+        "op3_bilstm_crf_pii": pii.op3_bilstm_crf_pii,
         "op4_ogg_media": ogg.op4_ogg_media,
         "op5_ngram_quality": quality.op5_ngram_quality,
         "op7_simhash_groups": simhash.op7_simhash_groups,
