@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ogg, pii, quality, sharding, simhash, substrings
+from . import lines, ogg, packing, pii, quality, sharding, simhash, substrings
 
 
 def queries():
     return {
+        "op1_length_buckets": packing.op1_length_buckets,
+        "op2_line_chunks": lines.op2_line_chunks,
         "op3_bilstm_crf_pii": pii.op3_bilstm_crf_pii,
         "op4_ogg_media": ogg.op4_ogg_media,
         "op5_ngram_quality": quality.op5_ngram_quality,
@@ -17,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_length_buckets": packing.OP1_SQL, "op2_line_chunks": lines.OP2_SQL}
