@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, ogg, packing, pii, quality, sharding, simhash, substrings
+from . import licenses, lines, ogg, packing, pii, quality, sharding, simhash, substrings
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_ogg_media": ogg.op4_ogg_media,
         "op5_ngram_quality": quality.op5_ngram_quality,
         "op7_simhash_groups": simhash.op7_simhash_groups,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_debruijn_repeats": substrings.op9_debruijn_repeats,
         "op10_rendezvous_shards": sharding.op10_rendezvous_shards,
     }
