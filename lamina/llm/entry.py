@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, ogg, packing, pii, quality, sharding, simhash, substrings
+from . import licenses, lines, ogg, packing, pieces, pii, quality, sharding, simhash, substrings
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_bilstm_crf_pii": pii.op3_bilstm_crf_pii,
         "op4_ogg_media": ogg.op4_ogg_media,
         "op5_ngram_quality": quality.op5_ngram_quality,
+        "op6_piece_lattice": pieces.op6_piece_lattice,
         "op7_simhash_groups": simhash.op7_simhash_groups,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_debruijn_repeats": substrings.op9_debruijn_repeats,
