@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents
 
 WINDOW, DIVISOR, MIN_LINES = 3, 3, 2
+HOT_COPIES = 1000
 _BASE, _MOD = 65599, 2147483647
 
 
@@ -46,31 +47,37 @@ def repeated_chunks(docs: DataFrame, key: str, text: str, window: int = WINDOW,
     """(doc, t, first, n): chunks of at least min_lines lines that equal an earlier chunk."""
     body = lambda c: F.array_join(F.slice("lines", c["first"], c["n"]), "\n")
     rows = chunked(docs.where(F.col(text).isNotNull()), key, text, window, divisor).select("doc", "t", "lines", F.explode(F.filter("chunks", lambda c: c["n"] >= min_lines)).alias("c"))
-    rows = rows.select("doc", "t", F.col("c.first").alias("first"), F.col("c.n").alias("n"), body(F.col("c")).alias("body")).withColumn("hash", F.xxhash64("body"))
+    rows = rows.select("doc", "t", F.col("c.first").alias("first"), F.coalesce("c.n", F.lit(0)).alias("n"), F.coalesce(body(F.col("c")), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "t", "first")
-    groups = rows.groupBy("hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    met = rows.join(groups, "hash")
-    least = met.where(place == F.col("place")).groupBy("hash").agg(F.min("body").alias("kept"))
-    return met.where(place != F.col("place")).join(least, "hash").where("body = kept").select("doc", "t", "first", "n")
+    groups = cut(rows.groupBy("hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    # A hash with over a thousandth of the copies is hot: fewer than 1,000 can be, so they are broadcast, and each is dealt to several tasks.
+    most = max(HOT_COPIES, (groups.agg(F.sum("copies")).first()[0] or 0) // 1000)
+    salts = F.when(F.col("copies") > most, F.ceil(F.col("copies") / most)).otherwise(1).cast("int")
+    hot = groups.where(F.col("copies") > most).select("hash", salts.alias("salts"))
+    salted = rows.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "t", "first"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    spread = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    met = salted.join(groups.select("hash", "place", "copies", spread), ["hash", "salt"])
+    # Both branches read the same columns and compare by order, which does not become a key of the join, so that chunk bodies are shuffled once.
+    least = met.where(place <= F.col("place")).groupBy("hash").agg(F.min("body").alias("kept"), F.min("n").alias("kept_n"), F.min("copies").alias("copies")).select("hash", "kept", "kept_n", spread)
+    return met.where(place > F.col("place")).join(least, ["hash", "salt"]).where("body <= kept and body >= kept and n <= kept_n and n >= kept_n").select("doc", "t", "first", "n")
 
 
 def remove_chunks(docs: DataFrame, key: str, text: str, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the lines of repeated chunks taken out of `text`, and _n_lines and _n_removed."""
-    gone = repeated_chunks(docs, key, text, window, divisor, min_lines).groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("_gone"))
-    left = docs.withColumns({"_doc": F.col(key), "_t": F.xxhash64(text)})
-    joined = left.join(gone, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_t") == F.col("t")), "left").drop(gone["doc"], gone["t"], "_doc", "_t")
+    gone = repeated_chunks(docs, key, text, window, divisor, min_lines).groupBy(F.col("doc").alias("_lamina_doc"), F.col("t").alias("_lamina_t")).agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("_lamina_gone"))
+    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("_lamina_doc")) & (F.xxhash64(text) == F.col("_lamina_t")), "left").drop("_lamina_doc", "_lamina_t")
     lines = F.split(text, "\n")
     size = F.size(lines)
     # What stays: from the end of each gone chunk to the start of the next.
-    starts = F.concat(F.array(F.lit(1)), F.transform("_gone", lambda g: g["first"] + g["n"]))
-    ends = F.concat(F.transform("_gone", lambda g: g["first"]), F.array(size + 1))
+    starts = F.concat(F.array(F.lit(1)), F.transform("_lamina_gone", lambda g: g["first"] + g["n"]))
+    ends = F.concat(F.transform("_lamina_gone", lambda g: g["first"]), F.array(size + 1))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(lines, x["a"], x["b"] - x["a"])))
-    removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, g: s + g["n"]), F.lit(0))
+    removed = F.coalesce(F.aggregate("_lamina_gone", F.lit(0), lambda s, g: s + g["n"]), F.lit(0))
     return (
         joined.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(size).cast("long"))
         .withColumn("_n_removed", removed.cast("long"))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-        .drop("_gone")
+        .withColumn(text, F.when(F.col("_lamina_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+        .drop("_lamina_gone")
     )
 
 

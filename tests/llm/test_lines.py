@@ -50,12 +50,19 @@ def test_equals_brute_force(spark):
         ls += [f"tail {rng.randrange(400)}" for _ in range(rng.randrange(5))]
         rows.append((i, "\n".join(ls)))
     rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n"), (103, "\n\n\n\n\n\n"), (104, "x" * 100_000), (None, "\n".join(passage)), (105, "\n".join(f"l{i % 7}" for i in range(3000)))]
-    df = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], "doc_id long, text string, body string, first int")
+    df = spark.createDataFrame([(d, t, "s", 1, 2, 3) for d, t in rows], "doc_id long, text string, body string, first int, doc int, t int")
     got = lines.remove_chunks(df, "doc_id", "text")
     assert got.columns == [*df.columns, "_n_lines", "_n_removed"]
     assert {r.doc_id: (r._n_lines, r._n_removed, r.text) for r in got.collect()} == brute(rows)
 
 
+def test_hot_chunks_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_COPIES", 7)
+    rows = [(i, "\n".join(f"line {k}" for k in range(12)) + f"\nown {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r._n_lines, r._n_removed, r.text) for r in lines.remove_chunks(df, "doc_id", "text").collect()} == brute(rows)
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = "\n".join(f"line {i}" for i in range(20))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
