@@ -31,17 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
 def gapless(df: DataFrame, group: list[str], order: list[str], spread: Column, name: str, parts: int = 256) -> DataFrame:
     """Add `name`: 0, 1, 2, ... without gaps inside each group, in the order (spread modulo parts,
     then `order`). Each group is numbered in `parts` independent pieces whose offsets come from a
-    count per piece, so a group of any size never meets in one task. Group columns hold no nulls."""
-    piece = df.withColumn("_piece", F.pmod(spread, F.lit(parts)).cast("int"))
-    counts = piece.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_piece").orderBy(*order)
+    count per piece, so a group of any size never meets in one task. Group columns hold no nulls; names that begin with _lamina are taken."""
+    piece = df.withColumn("_lamina_piece", F.pmod(spread, F.lit(parts)).cast("int"))
+    counts = piece.groupBy(*group, "_lamina_piece").agg(F.count(F.lit(1)).alias("_lamina_n"))
+    before = Window.partitionBy(*group).orderBy("_lamina_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_lamina_piece", F.coalesce(F.sum("_lamina_n").over(before), F.lit(0)).alias("_lamina_offset"))
+    inside = Window.partitionBy(*group, "_lamina_piece").orderBy(*order)
     return (
-        piece.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, [*group, "_piece"])
-        .withColumn(name, (F.col("_offset") + F.col("_at") - 1).cast("long"))
-        .drop("_piece", "_at", "_offset")
+        piece.withColumn("_lamina_at", F.row_number().over(inside))
+        .join(offsets, [*group, "_lamina_piece"])
+        .withColumn(name, (F.col("_lamina_offset") + F.col("_lamina_at") - 1).cast("long"))
+        .drop("_lamina_piece", "_lamina_at", "_lamina_offset")
     )
 
 

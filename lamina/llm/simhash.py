@@ -185,8 +185,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3, radius:
 
 def deduplicate(df: DataFrame, key: str, text: str, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of df whose key is the smallest of their group; rows that share a key stay or go together."""
-    kept = near_duplicates(df, key, text, words, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_duplicates(df, key, text, words, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_lamina_kept")).distinct()
+    return df.join(kept, F.col(key).eqNullSafe(F.col("_lamina_kept")), "left_semi")
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
