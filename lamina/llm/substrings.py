@@ -9,12 +9,13 @@ start, and every later one is a repeat. Three steps find all repeats without dea
 2. Matching. Compacted edges meet by anchor. Of equal ones all but the earliest are repeats as a whole. An anchor with
    one distinct edge is settled; where several distinct edges share an anchor the path branches, and
    only the earliest coordinate of each is expanded into its windows.
-3. Expansion. The source coordinates lead back to the words; expanded windows meet by their hash, and
-   all but the earliest are repeats.
+3. Verification and expansion. The source coordinates lead back to the words, in one pass over the texts: a
+   matched edge counts only if the words at its own and at its source's place have equal digests (XXH3, apart from
+   the hashes that matched them), and expanded windows meet by their hash, all but the earliest being repeats.
 
 Hot passages leave a chunk once, so a passage that a third of all documents hold meets as often as there
 are chunks. Edges travel in packs of columns, dealt by anchor into a number of buckets that follows the size of
-the input. Words are compared by 64-bit hashes of content under a 64-bit anchor.
+the input. Repeats inside a chunk are verified there, word hash by word hash; expanded windows meet by two 64-bit hashes.
 
 Defined results: a null text has no words; documents are ordered by doc_id, a null one last; rows that
 share a doc_id are one document in that order, and of windows with equal (doc_id, start) none is later
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +67,23 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def later(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which entries come after the least (id, start) of their hash."""
+def later(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries come after the least (id, start) of their hash, and the entry that is the least."""
     order = np.lexsort((starts, ids, hashes))
     h, d, s = hashes[order], ids[order], starts[order]
     head = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
     lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(h) else np.zeros(0, int)
-    out = np.zeros(len(h), bool)
+    out, first = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
     out[order] = (d > d[lead]) | (s > s[lead])
+    first[order] = order[lead]
+    return out, first
+
+
+def _same_words(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows from words a and from words b agree in every word's hash."""
+    out = np.ones(len(a), bool)
+    for k in range(size):
+        out &= hashes[a + k] == hashes[b + k]
     return out
 
 
@@ -110,14 +121,14 @@ def _deal(columns: dict[str, np.ndarray], by: np.ndarray, buckets: int):
     bucket = (by % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, int)
-    for a, b in zip(edge, np.r_[edge[1:], len(order)], strict=True):
+    for a, b in zip(edge, np.r_[edge[1:], [len(order)] * bool(len(order))].astype(int), strict=True):
         own = order[a:b]
         yield int(bucket[own[0]]), len(own), _pack({k: v[own] for k, v in columns.items()})
 
 
 _PACKS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("rows", pa.int64()), ("pack", pa.binary())])
 _PACKS_DDL = "bucket long, kind int, rows long, pack binary"
-EDGES, REPEATS = 0, 1
+EDGES, REPEATS, DIGESTS = 0, 1, 2
 
 
 def _packs(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,7 +148,8 @@ def compacted_edges(docs: DataFrame, key: str, text: str, size: int, anchor: int
                     continue
                 row = words.rows[at]
                 doc, text_, start = ids[lo:hi][row], texts[lo:hi][row], at - words.first[row]
-                again = later(hashes, doc, start)
+                again, lead = later(hashes, doc, start)
+                again[again] = _same_words(words.hashes, at[again], at[lead[again]], size)
                 least = _least(rolling(words.hashes, anchor), size - anchor + 1)[at]
                 next_ = np.r_[False, (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])]
                 rows = []
@@ -156,11 +168,13 @@ def compacted_edges(docs: DataFrame, key: str, text: str, size: int, anchor: int
     return docs.select(key, text, F.hash(text)).mapInArrow(run, _PACKS_DDL)
 
 
-_SPANS_DDL = "doc long, t int, start int, n int, open boolean"
+_SPANS_DDL = "doc long, t int, start int, n int, state int, source_doc long, source_t int, source_start int"
+SETTLED, OPEN, MATCHED = 0, 1, 2
 
 
 def matched_edges(packs: DataFrame) -> DataFrame:
-    """(doc, t, start, n, open): windows known as repeats, and open ones that must be expanded because their anchor branches."""
+    """(doc, t, start, n, state, source_doc, source_t, source_start): windows known as repeats (SETTLED), windows that equal those at the source
+    (MATCHED), and windows that must be expanded because their anchor branches (OPEN)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges, known = pdf[pdf.kind == EDGES], pdf[pdf.kind == REPEATS]
@@ -179,15 +193,29 @@ def matched_edges(packs: DataFrame) -> DataFrame:
             open_ = branches & ~repeat
         else:
             repeat = open_ = np.zeros(0, bool)
+            lead = np.zeros(0, int)
         pick = repeat | open_
-        return pd.DataFrame({"doc": np.r_[r["d"], d[pick]], "t": np.r_[r["t"], e["t"][pick]], "start": np.r_[r["s"], s[pick]], "n": np.r_[r["n"], e["n"][pick]], "open": np.r_[np.zeros(len(r["d"]), bool), open_[pick]]})
+        state = np.where(open_[pick], OPEN, MATCHED)
+        from_ = lead[pick]
+        own = {"doc": d[pick], "t": e["t"][pick], "start": s[pick], "n": e["n"][pick], "state": state, "source_doc": d[from_], "source_t": e["t"][from_], "source_start": s[from_]}
+        none = np.zeros(len(r["d"]), np.int64)
+        known = {"doc": r["d"], "t": r["t"], "start": r["s"], "n": r["n"], "state": none + SETTLED, "source_doc": none, "source_t": none, "source_start": none}
+        return pd.DataFrame({k: np.r_[known[k], own[k]] for k in own})
 
     return packs.groupBy("bucket").applyInPandas(run, _SPANS_DDL)
 
 
-def expanded_windows(docs: DataFrame, spans: DataFrame, key: str, text: str, size: int, buckets: int) -> DataFrame:
-    """Packs of the windows (a: hash, d, s) in open spans, from the words at their coordinates."""
-    wanted = spans.where("open").groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+OWN, SOURCE = 3, 4
+
+
+def reread_words(docs: DataFrame, spans: DataFrame, key: str, text: str, size: int, buckets: int) -> DataFrame:
+    """Packs of the windows in OPEN spans (a, b: hashes, d, t, s), and of the digests of both places of MATCHED ones (a: pair, b: digest, d, t, s, n;
+    n is 0 at the source), from the words at their coordinates."""
+    pair = F.xxhash64("doc", "t", "start")
+    asked = spans.where(F.col("state") == OPEN).select("doc", "t", "start", "n", F.lit(OPEN).alias("what"), F.lit(0).cast("long").alias("pair"))
+    asked = asked.union(spans.where(F.col("state") == MATCHED).select("doc", "t", "start", "n", F.lit(OWN), pair))
+    asked = asked.union(spans.where(F.col("state") == MATCHED).select("source_doc", "source_t", "source_start", "n", F.lit(SOURCE), pair))
+    wanted = asked.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n", "what", "pair")).alias("spans"))
     joined = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.hash(text).alias("t"), F.col(text).alias("text")).join(wanted, ["doc", "t"]).select("doc", "t", "text", "spans")
 
     def run(batches):
@@ -201,28 +229,50 @@ def expanded_windows(docs: DataFrame, spans: DataFrame, key: str, text: str, siz
                 spans = batch.column(3).slice(lo, hi - lo)
                 inner = spans.flatten()
                 per = np.repeat(np.arange(hi - lo), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-                s, n = inner.field(0).to_numpy(zero_copy_only=False).astype(np.int64), inner.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                s, n, what, pair = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
                 mark = np.zeros(len(words.hashes) + 1, np.int64)
                 begin = words.first[per] + s
-                np.add.at(mark, np.minimum(begin, len(words.hashes)), 1)
-                np.add.at(mark, np.minimum(begin + n, len(words.hashes)), -1)
+                open_ = what == OPEN
+                np.add.at(mark, np.minimum(begin[open_], len(words.hashes)), 1)
+                np.add.at(mark, np.minimum((begin + n)[open_], len(words.hashes)), -1)
                 own = (np.cumsum(mark) > 0)[at]
+                other = rolling(words.hashes ^ _U(0x5555555555555555), size)[at[own]]
                 at, hashes = at[own], hashes[own]
                 row = words.rows[at]
-                yield _packs([(b, EDGES, m, p) for b, m, p in _deal({"a": hashes, "d": ids[lo:hi][row], "t": texts[lo:hi][row], "s": at - words.first[row]}, hashes, buckets)])
+                rows = [(b, EDGES, m, p) for b, m, p in _deal({"a": hashes, "b": other, "d": ids[lo:hi][row], "t": texts[lo:hi][row], "s": at - words.first[row]}, hashes, buckets)]
+                pick = np.flatnonzero(~open_)
+                if len(pick):
+                    # Words joined by one space, so that other white space between them makes no difference.
+                    raw = data.tobytes()
+                    a, z = words.starts, words.ends
+                    digest = np.zeros(len(pick), np.uint64)
+                    for i, (f, m) in enumerate(zip(begin[pick].tolist(), (n[pick] + size - 1).tolist(), strict=True)):
+                        digest[i] = xxhash.xxh3_64_intdigest(b" ".join(raw[a[f] : z[f + m - 1]].split()))
+                    r = per[pick]
+                    columns = {"a": pair[pick].view(np.uint64), "b": digest, "d": ids[lo:hi][r], "t": texts[lo:hi][r], "s": s[pick], "n": np.where(what[pick] == OWN, n[pick], 0)}
+                    rows += [(b, DIGESTS, m, p) for b, m, p in _deal(columns, columns["a"], buckets)]
+                yield _packs(rows)
 
     return joined.mapInArrow(run, _PACKS_DDL)
 
 
-def matched_windows(packs: DataFrame) -> DataFrame:
-    """(doc, t, start, n = 1, open = false) of expanded windows that start earlier elsewhere."""
+def confirmed(packs: DataFrame) -> DataFrame:
+    """(doc, t, start, n): expanded windows that start earlier elsewhere, and matched spans whose words have the digest of their source's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = _unpack(pdf.pack.tolist(), pdf.rows.tolist(), "adts")
-        again = later(w["a"], w["d"], w["s"])
-        return pd.DataFrame({"doc": w["d"][again], "t": w["t"][again], "start": w["s"][again], "n": np.ones(int(again.sum()), np.int32), "open": np.zeros(int(again.sum()), bool)})
+        opened, digests = pdf[pdf.kind == EDGES], pdf[pdf.kind == DIGESTS]
+        w = _unpack(opened.pack.tolist(), opened.rows.tolist(), "abdts")
+        again, _ = later(w["a"] ^ (w["b"] * _U(0x9E3779B97F4A7C15)), w["d"], w["s"])
+        v = _unpack(digests.pack.tolist(), digests.rows.tolist(), "abdtsn")
+        order = np.lexsort((v["n"], v["a"]))
+        v = {k: x[order] for k, x in v.items()}
+        # The source comes first in its pair; rows that repeat a document give equal entries.
+        head = np.r_[True, v["a"][1:] != v["a"][:-1]] if len(order) else np.zeros(0, bool)
+        source = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else np.zeros(0, int)
+        good = (v["n"] > 0) & (v["n"][source] == 0) & (v["b"] == v["b"][source])
+        return pd.DataFrame({"doc": np.r_[w["d"][again], v["d"][good]], "t": np.r_[w["t"][again], v["t"][good]], "start": np.r_[w["s"][again], v["s"][good]], "n": np.r_[np.ones(int(again.sum()), np.int32), v["n"][good]]})
 
-    return packs.groupBy("bucket").applyInPandas(run, _SPANS_DDL)
+    return packs.groupBy("bucket").applyInPandas(run, "doc long, t int, start int, n int")
 
 
 def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
@@ -232,8 +282,8 @@ def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     spans = cut(matched_edges(compacted_edges(docs, key, text, size, anchor, buckets)))
-    settled = matched_windows(expanded_windows(docs, spans, key, text, size, buckets))
-    return spans.where("not open").union(settled).select("doc", "t", "start", "n")
+    found = confirmed(reread_words(docs, spans, key, text, size, buckets))
+    return spans.where(F.col("state") == SETTLED).select("doc", "t", "start", "n").union(found)
 
 
 def remove_repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:

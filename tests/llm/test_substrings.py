@@ -62,3 +62,12 @@ def test_edge_rows(spark):
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, doc int, spans int, start int")
     assert substrings.remove_repeats(df, "doc_id", "text").count() == 0
+
+
+def test_matched_spans_without_equal_words_are_dropped(spark):
+    import numpy as np
+
+    columns = {"a": np.array([1, 1, 2, 2, 3], np.uint64), "b": np.array([7, 7, 8, 9, 4], np.uint64), "d": np.array([5, 1, 6, 1, 9]), "t": np.zeros(5, int), "s": np.array([10, 20, 30, 40, 50]), "n": np.array([3, 0, 3, 0, 3])}
+    rows = [(b, substrings.DIGESTS, m, p) for b, m, p in substrings._deal(columns, columns["a"], 1)]
+    got = substrings.confirmed(spark.createDataFrame([(b, k, m, bytearray(p)) for b, k, m, p in rows], substrings._PACKS_DDL)).collect()
+    assert [tuple(r) for r in got] == [(5, 0, 10, 3)]
