@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixed
 from .encode import Encoder
 from .functions import text
 from .operators import daily, fragments, listing, search, topics, turns
@@ -84,7 +85,7 @@ class Memory:
 
     def memory_create_daily_summary(self, a: dict) -> dict:
         self.write_daily(self._row(a | {"arrival": 0}, "date string, summary_md string, arrival long"), "arrival")
-        return _ok(f"每日总结已写入：daily/{a['date']}.md")
+        return _ok(fixed.DAILY_WRITTEN.format(a["date"]))
 
     def memory_upsert_topic(self, a: dict) -> dict:
         last = self.store.read("topic_entries").agg(F.coalesce(F.max("arrival"), F.lit(0))).first()[0]
@@ -117,18 +118,18 @@ class Memory:
 
     def memory_get_fragment(self, a: dict) -> dict:
         md = self._fragment_md(a["fragment_id"])
-        return _ok(md) if md else _error(f"片段不存在：{a['fragment_id']}")
+        return _ok(md) if md else _error(fixed.NO_FRAGMENT.format(a["fragment_id"]))
 
     def memory_get_daily(self, a: dict) -> dict:
         md = self._daily_md(a["date"])
-        return _ok(md) if md else _error(f"该日期没有每日总结：{a['date']}")
+        return _ok(md) if md else _error(fixed.NO_DAILY.format(a["date"]))
 
     def memory_get_topic(self, a: dict) -> dict:
         r = self._topic(a["topic_name"])
         if r:
             return _ok(r.md)
         known = [x.topic_slug for x in self.store.read("topic_entries").select("topic_slug").distinct().orderBy("topic_slug").collect()]
-        return _error(f"主题不存在：{a['topic_name']}。可用主题：{', '.join(known) or '无'}")
+        return _error(fixed.NO_TOPIC.format(a["topic_name"], ", ".join(known) or fixed.NONE))
 
     def memory_list_dates(self, a: dict | None = None) -> dict:
         r = listing.date_totals(self.store.read("turns"), self.store.read("daily")).first()
@@ -138,11 +139,11 @@ class Memory:
         """Run a tool by name; unknown names and failures become error envelopes."""
         tool = getattr(self, name, None) if name in TOOLS else None
         if tool is None:
-            return _error(f"未知工具：{name}")
+            return _error(fixed.UNKNOWN_TOOL.format(name))
         try:
             return tool(arguments or {})
         except Exception as e:
-            return _error(f"执行 {name} 时出错：{e}")
+            return _error(fixed.TOOL_FAILED.format(name, e))
 
     # ---- resources ----
 
@@ -158,10 +159,10 @@ class Memory:
 
         parsed = parse_uri(uri)
         if parsed is None:
-            return plain("无效的 memory:// URI")
+            return plain(fixed.BAD_URI)
         kind, rest = parsed
         if kind not in ("raw", "fragments", "daily", "topics"):
-            return plain(f"未知 resource 类型：{kind}\n可用类型：raw, fragments, daily, topics")
+            return plain(fixed.UNKNOWN_KIND.format(kind))
         key = "/".join(rest)
         if kind == "raw":
             fields = F.struct("turn_id", "role", "content", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), "agent_id")
@@ -169,8 +170,7 @@ class Memory:
             return {"uri": uri, "mimeType": "application/jsonl", "text": "\n".join(r.line for r in lines)}
         topic = self._topic(key) if kind == "topics" else None
         md = self._fragment_md(key) if kind == "fragments" else self._daily_md(key) if kind == "daily" else topic.md if topic else None
-        missing = {"fragments": "片段不存在", "daily": "每日总结不存在", "topics": "主题不存在"}
-        return {"uri": uri, "mimeType": "text/markdown", "text": md} if md else plain(f"读取失败：{missing[kind]}")
+        return {"uri": uri, "mimeType": "text/markdown", "text": md} if md else plain(fixed.READ_FAILED.format(fixed.MISSING[kind]))
 
 
 TOOLS = ("memory_store_turn", "memory_create_fragment", "memory_create_daily_summary", "memory_upsert_topic", "memory_search", "memory_get_fragment", "memory_get_daily", "memory_get_topic", "memory_list_dates")

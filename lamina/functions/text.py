@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import fixed
+
 # The white space that trimming removes (tab to CR, space, no-break and Unicode spaces, line and paragraph separators, byte order mark).
 SPACE = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 # CJK unified ideographs.
@@ -57,7 +59,7 @@ def embed_text(task: Column, result: Column, turns: Column) -> Column:
 
 
 def turn_line(role: Column, content: Column) -> Column:
-    return F.concat(F.when(role == "user", "[用户]：").otherwise("[AI]："), content)
+    return F.concat(F.when(role == "user", fixed.USER).otherwise(fixed.AI), content)
 
 
 def stored_role(role: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
+
 
 def latest(writes: DataFrame, arrival: str) -> DataFrame:
     """Rows of `daily` from writes (date, summary_md): the last writer of a date wins."""
@@ -14,5 +16,5 @@ def latest(writes: DataFrame, arrival: str) -> DataFrame:
 
 def topics(summary: Column) -> Column:
     """Backticked topics of the summary's topic line; empty without one."""
-    line = F.regexp_extract(F.coalesce(summary, F.lit("")), r"\*\*涉及主题\*\*[：:]\s*([^\n]+)", 1)
+    line = F.regexp_extract(F.coalesce(summary, F.lit("")), rf"\*\*{fixed.DAY_TOPICS}\*\*[：:]\s*([^\n]+)", 1)
     return F.regexp_extract_all(line, F.lit("`([^`]+)`"), F.lit(1))

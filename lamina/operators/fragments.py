@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import text
 from .numbering import numbered
 from .turns import range_texts
@@ -23,13 +24,15 @@ def create_fragments(inputs: DataFrame, turns: DataFrame, existing: DataFrame |
 def markdown() -> Column:
     """A fragment row as its Markdown document."""
     c = lambda name: F.coalesce(F.col(name), F.lit(""))
+    label = lambda name: F.lit(f"\n**{name}**：")
+    heading = lambda name: F.lit(f"\n\n## {name}\n\n")
     tags = F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("`"), t, F.lit("`"))), " ")
-    agent = F.when(c("agent_id") != "", F.concat(F.lit("\n**Agent**："), F.col("agent_id"))).otherwise("")
+    agent = F.when(c("agent_id") != "", F.concat(label(fixed.AGENT), F.col("agent_id"))).otherwise("")
     head = F.concat(
-        F.lit("# 任务："), c("task_desc"), F.lit("\n\n**日期**："), c("date"), F.lit("\n**轮次**："), c("start_turn_id"), F.lit(" ~ "), c("end_turn_id"),
-        F.lit("\n**标签**："), tags, F.lit("\n**主题**："), c("topic_name"), agent,
+        F.lit(fixed.TASK_TITLE), c("task_desc"), F.lit("\n"), label(fixed.DATE), c("date"), label(fixed.RANGE), c("start_turn_id"), F.lit(" ~ "), c("end_turn_id"),
+        label(fixed.TAGS), tags, label(fixed.TOPIC), c("topic_name"), agent,
     )
-    return F.concat(head, F.lit("\n\n## 摘要\n\n"), c("task_desc"), F.lit("\n\n## 结论\n\n"), c("result_desc"), F.lit("\n\n## 原文\n\n"), c("turns_text"), F.lit("\n"))
+    return F.concat(head, heading(fixed.SUMMARY), c("task_desc"), heading(fixed.RESULT), c("result_desc"), heading(fixed.TURNS), c("turns_text"), F.lit("\n"))
 
 
 def parse_markdown(docs: DataFrame, md: str, fragment_id: str) -> DataFrame:
@@ -44,13 +47,13 @@ def parse_markdown(docs: DataFrame, md: str, fragment_id: str) -> DataFrame:
     def field(name: str) -> Column:
         return F.regexp_extract(head, rf"\*\*{name}\*\*[：:][ \t]*([^\n]+)", 1)
 
-    task = F.regexp_extract(head, r"(?m)^# 任务：([^\n]+)$", 1)
-    turns = F.split(field("轮次"), "~")
-    rows = docs.withColumns({"_task": task, "_date": field("日期"), "_range": field("轮次"), "_turns": turns}).where("_task <> '' and _date <> '' and _range <> ''")
+    task = F.regexp_extract(head, f"(?m)^{fixed.TASK_TITLE}([^\n]+)$", 1)
+    turns = F.split(field(fixed.RANGE), "~")
+    rows = docs.withColumns({"_task": task, "_date": field(fixed.DATE), "_range": field(fixed.RANGE), "_turns": turns}).where("_task <> '' and _date <> '' and _range <> ''")
     return rows.select(
         F.col(fragment_id).alias("fragment_id"), text.trim(F.col("_date")).alias("date"), text.trim(F.col("_turns")[0]).alias("start_turn_id"), text.trim(F.try_element_at("_turns", F.lit(2))).alias("end_turn_id"),
-        text.trim(F.col("_task")).alias("task_desc"), section("结论").alias("result_desc"), F.regexp_extract_all(field("标签"), F.lit("`([^`]+)`"), F.lit(1)).alias("tags"),
-        text.trim(field("主题")).alias("topic_name"), text.slug(field("主题")).alias("topic_slug"), F.nullif(text.trim(field("Agent")), F.lit("")).alias("agent_id"), section("原文").alias("turns_text"),
+        text.trim(F.col("_task")).alias("task_desc"), section(fixed.RESULT).alias("result_desc"), F.regexp_extract_all(field(fixed.TAGS), F.lit("`([^`]+)`"), F.lit(1)).alias("tags"),
+        text.trim(field(fixed.TOPIC)).alias("topic_name"), text.slug(field(fixed.TOPIC)).alias("topic_slug"), F.nullif(text.trim(field(fixed.AGENT)), F.lit("")).alias("agent_id"), section(fixed.TURNS).alias("turns_text"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
+
 
 def dates(turns: DataFrame, daily: DataFrame) -> DataFrame:
     """(date, has_raw, has_daily) of every date with turns or a summary, each date once."""
@@ -25,10 +27,10 @@ def resources(turns: DataFrame, fragments: DataFrame, daily: DataFrame, entries:
         return df.select(F.lit(number).alias("kind"), F.concat(F.lit(f"memory://{folder}/"), F.col(key)).alias("uri"), F.concat(F.lit(f"{label} "), F.col(key)).alias("name"), F.lit(mime).alias("mime_type"))
 
     return (
-        kind(turns.select("date").distinct(), "date", 0, "raw", "对话记录", "application/jsonl")
-        .unionByName(kind(fragments, "fragment_id", 1, "fragments", "片段", "text/markdown"))
-        .unionByName(kind(daily, "date", 2, "daily", "每日总结", "text/markdown"))
-        .unionByName(kind(entries.select("topic_slug").distinct(), "topic_slug", 3, "topics", "主题索引", "text/markdown"))
+        kind(turns.select("date").distinct(), "date", 0, "raw", fixed.RAW_NAME, "application/jsonl")
+        .unionByName(kind(fragments, "fragment_id", 1, "fragments", fixed.FRAGMENT_NAME, "text/markdown"))
+        .unionByName(kind(daily, "date", 2, "daily", fixed.DAILY_NAME, "text/markdown"))
+        .unionByName(kind(entries.select("topic_slug").distinct(), "topic_slug", 3, "topics", fixed.TOPIC_NAME, "text/markdown"))
     )
 
 

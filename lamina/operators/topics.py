@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import text
 
 
@@ -34,22 +35,22 @@ def summary(entries: str = "entries") -> Column:
 def markdown() -> Column:
     """An `index` row as its Markdown document."""
     days = F.array_join(F.transform("entries", lambda e: e["date"]), ", ")
-    state = F.when(F.col("status") == "active", "进行中").otherwise("已完成")
+    state = F.when(F.col("status") == "active", fixed.ACTIVE).otherwise(fixed.COMPLETED)
     lines = F.array_join(F.transform("entries", lambda e: F.concat(F.lit("- "), e["date"], F.lit("："), e["summary"], F.lit("（→ daily/"), e["date"], F.lit(".md → "), e["fragment_id"], F.lit("）"))), "\n")
-    rules = F.when(F.size("constraints") > 0, F.concat(F.lit("\n## 关键约束\n\n"), F.array_join(F.transform("constraints", lambda c: F.concat(F.lit("- "), c)), "\n"), F.lit("\n"))).otherwise("")
-    return F.concat(F.lit("# 主题："), F.col("name"), F.lit("（"), F.col("start_date"), F.lit(" ~ "), F.col("end_date"), F.lit("）\n\n**涵盖日期**："), days, F.lit("\n**状态**："), state, F.lit("\n\n## 各阶段\n\n"), lines, F.lit("\n"), rules)
+    rules = F.when(F.size("constraints") > 0, F.concat(F.lit(f"\n## {fixed.RULES}\n\n"), F.array_join(F.transform("constraints", lambda c: F.concat(F.lit("- "), c)), "\n"), F.lit("\n"))).otherwise("")
+    return F.concat(F.lit(fixed.TOPIC_TITLE), F.col("name"), F.lit("（"), F.col("start_date"), F.lit(" ~ "), F.col("end_date"), F.lit(f"）\n\n**{fixed.COVERED}**："), days, F.lit(f"\n**{fixed.STATUS}**："), state, F.lit(f"\n\n## {fixed.STAGES}\n\n"), lines, F.lit("\n"), rules)
 
 
 def parse_markdown(docs: DataFrame, md: str) -> DataFrame:
     """Topics from Markdown: name, dates, status, constraints and entries with their fragment ids. Documents without a title line are left out."""
-    title = r"(?m)^# 主题：(.+?)（(.+?) ~ (.+?)）"
+    title = f"(?m)^{fixed.TOPIC_TITLE}(.+?)（(.+?) ~ (.+?)）"
     c = F.col(md)
     entry = r"(?m)^- (\d{4}-\d{2}-\d{2})[：:][ \t]*([\s\S]*?)（→(?:[^→）\n]*→)? ?([^→）\n]*)）"
     get = lambda k: F.regexp_extract_all(c, F.lit(entry), F.lit(k))
     entries = F.transform(F.arrays_zip(get(1).alias("date"), get(3).alias("fragment_id"), get(2).alias("summary")), lambda e: F.struct(e["date"].alias("date"), text.trim(e["fragment_id"]).alias("fragment_id"), text.trim(e["summary"]).alias("summary")))
     # The rules' section: its list ends at the first blank line after the heading's own.
-    rules = F.when(F.instr(c, "## 关键约束") > 0, F.regexp_extract(c, r"## 关键约束[^\n]*\n[^\n]*\n((?:[^\n]*\S[^\n]*(?:\n|$))*)", 1)).otherwise("")
-    status = F.when(F.regexp_extract(c, r"\*\*状态\*\*[：:]\s*([^\n]+)", 1).contains("完成"), "completed").otherwise("active")
+    rules = F.when(F.instr(c, f"## {fixed.RULES}") > 0, F.regexp_extract(c, rf"## {fixed.RULES}[^\n]*\n[^\n]*\n((?:[^\n]*\S[^\n]*(?:\n|$))*)", 1)).otherwise("")
+    status = F.when(F.regexp_extract(c, rf"\*\*{fixed.STATUS}\*\*[：:]\s*([^\n]+)", 1).contains(fixed.DONE), "completed").otherwise("active")
     rows = docs.where(F.regexp_extract(c, title, 1) != "")
     return rows.select(
         text.slug(F.regexp_extract(c, title, 1)).alias("topic_slug"), text.trim(F.regexp_extract(c, title, 1)).alias("name"), text.trim(F.regexp_extract(c, title, 2)).alias("start_date"), text.trim(F.regexp_extract(c, title, 3)).alias("end_date"),
