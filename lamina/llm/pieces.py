@@ -9,35 +9,38 @@ leftmost first), since the best sum of scores is not what a BPE model encodes. T
 that sent the words, and each text's pieces become ids there, with byte fallback for unknown characters.
 
 The piece table is bounded by the model and broadcast. Words of more than LONGEST characters (a mask is
-one long) are merged by a heap in Python where they stand, in O(n log n), BPE alone.
+one long), and runs of closing punctuation that no piece joins to their word, are merged by a heap in
+Python where they stand, in O(n log n), BPE alone.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give equal ids;
 an empty table gives no rows; other input columns are ignored; a mark in the text itself decodes as a space, as the model cannot tell
-them apart. Ids are stored little-endian, 4 bytes each.
+them apart. Ids are stored as little-endian numbers.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .tokens import _VALUE, spans_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 61
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
-_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK = MARK.encode()
 
 
 def _fields(data: bytes) -> dict[int, list]:
@@ -93,8 +96,11 @@ class Model:
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.plain = [b"" if special[i] else bytes([int(self.names[i][3:5], 16)]) if byte[i] else self.names[i].replace(MARK, " ").encode() for i in range(n)]
         self.longest = max(map(len, self.ids))
+        self.stored = "<u2" if n <= 1 << 16 else "<u4"
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses words")
+        pairs = [p[i : i + 2] for p in self.ids for i in range(len(p) - 1)] if self.bpe else [a + b for a in set("".join(self.ids)) for b in _MARKS]
+        self.pairs = frozenset(pairs)
 
     def normal(self, text: str) -> str:
         text = text.replace(" ", MARK)
@@ -119,6 +125,16 @@ def _ids_of(model_ids: dict, byte_ids: dict, unknown: int, pieces: list[str]) ->
     return out
 
 
+
+
+def halves(word: str, pairs: frozenset[str]) -> tuple[str, str]:
+    """The word without its closing punctuation, and that, where no piece holds the two characters at the cut; else the word and ''."""
+    body = word.rstrip(_MARKS)
+    if body and len(body) < len(word) and word[len(body) - 1 : len(body) + 1] not in pairs:
+        return body, word[len(body) :]
+    return word, ""
+
+
 def merge_long(word: str, scores: dict[str, float]) -> list[str]:
     """BPE pieces of one word by a heap of merges."""
     piece, left, right = list(word), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
@@ -159,21 +175,24 @@ def cut_at(word: str, mask: int) -> list[str]:
 def edges(words: DataFrame, pieces: DataFrame, longest: int, shortest: int) -> DataFrame:
     """(word, edges): of each word in `words` the substrings that are pieces (piece, score), as array<struct<score, neg, ends, span>>:
     minus the start, the bits of both ends, and the bits from start to end."""
-    n = F.char_length("word")
-    starts = F.sequence(F.lit(0), n - shortest)
-    parts = F.transform(starts, lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), k.alias("k"), F.substr("word", s + 1, k).alias("piece"))))
-    rows = words.where(n >= shortest).select("word", F.inline(F.flatten(parts))).join(F.broadcast(pieces), "piece")
+    size = F.char_length("word")
+    starts = words.where(size >= shortest).select("word", F.explode(F.sequence(F.lit(0), size - shortest)).alias("s"))
+    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
+    rows = spans.select("word", "s", "k", F.substr("word", F.col("s") + 1, F.col("k")).alias("piece")).join(F.broadcast(pieces), "piece")
     bit = lambda i: F.expr(f"shiftleft(1L, {i})")
     edge = F.struct("score", (-F.col("s")).alias("neg"), bit("s").bitwiseOR(bit("s + k")).alias("ends"), (bit("s + k + 1") - bit("s")).alias("span"))
-    return rows.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    # The hash in front makes the sort by word a sort by numbers.
+    return rows.groupBy(F.xxhash64("word"), "word").agg(F.collect_list(edge).alias("edges")).select("word", "edges")
 
 
 def merge_fold() -> Column:
     """Mask of cuts by BPE merges: from all cuts, the best edge that covers exactly two pieces loses its inner cut, until none is left."""
+    # Edges sort by score, then from right to left, so the last one that applies is the best.
     return F.expr(
-        """aggregate(sequence(1, greatest(char_length(word) - 1, 1)), shiftleft(1L, char_length(word) + 1) - 1L, (m, i) -> m - coalesce(
-          array_max(transform(filter(edges, x -> (m & x.ends) = x.ends AND bit_count(m & x.span) = 3),
-            x -> struct(x.score, x.neg, (m & x.span) - x.ends AS inner))).inner, 0L))"""
+        """aggregate(sequence(1, greatest(char_length(word) - 1, 1)), named_struct('m', shiftleft(1L, char_length(word) + 1) - 1L, 'es', array_sort(edges)),
+          (s, i) -> transform(array(filter(s.es, x -> (s.m & x.ends) = x.ends)), es ->
+            named_struct('m', s.m - coalesce(get(transform(slice(filter(es, x -> bit_count(s.m & x.span) = 3), -1, 1), x -> (s.m & x.span) - x.ends), 0), 0L), 'es', es))[0],
+          s -> s.m)"""
     )
 
 
@@ -202,169 +221,216 @@ def word_masks(words: DataFrame, model: Model) -> DataFrame:
 
 # ---- words of batches -----------------------------------------------------------------------------------
 
-_SENT = "key long, kind int, batch long, n int, pack binary, at binary, {0}, check long"
+_SENT = "key long, kind int, batch long, bucket int, n int, pack binary, places binary, ids array<{0}>, sizes array<int>, checks array<long>"
 WORDS, TEXTS = 0, 1
 
 
 def _squeeze(x: np.ndarray) -> bytes:
     """uint32 values, byte planes apart."""
-    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
 
 
 def _loosen(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _pack_words(words: list[str]) -> bytes:
     raw = [w.encode() for w in words]
     sizes = np.array([len(r) for r in raw], "<u4").tobytes()
-    return zlib.compress(sizes + b"".join(raw), 1)
+    return zstandard.compress(sizes + b"".join(raw), 6)
 
 
 def _unpack_words(pack: bytes, n: int) -> list[str]:
-    raw = zlib.decompress(pack)
+    raw = zstandard.decompress(pack)
     ends = 4 * n + np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64))
     starts = np.r_[4 * n, ends[:-1]] if n else ends
     return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, number of the distinct word, an occurrence of each distinct word) of texts with spaces as marks. A word
+    starts where a text does, at the first space or line feed of a run, and after line feeds."""
+    pieces = []
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 20), "right")) - 1)
+        d, at = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        if len(d):
+            before = np.r_[np.uint8(0), d[:-1]]
+            first = ((d == 32) & (before != 32)) | ((d == 10) != (before == 10))
+            first[at[:-1][np.diff(at) > 0]] = True
+            starts = np.flatnonzero(first)
+            ends = np.r_[starts[1:], len(d)]
+            pieces.append(((starts + offsets[row]).astype(np.int32), (ends + offsets[row]).astype(np.int32), spans_hash(_VALUE[d], starts, ends)))
+        row = end
+    if not pieces:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    starts, ends = (np.concatenate([p[k] for p in pieces]) for k in (0, 1))
+    counts = [len(p[0]) for p in pieces]
+    hashes = np.concatenate([p[2] for p in pieces])
+    del pieces
+    word = pd.factorize(hashes)[0].astype(np.int32)
+    del hashes
+    reps = np.empty(int(word.max()) + 1, np.int32)
+    reps[word[::-1]] = np.arange(len(word) - 1, -1, -1, dtype=np.int32)
+    size, lead = ends - starts, reps[word]
+    same, at = bool((size == size[lead]).all()), 0
+    for n in counts if same else []:
+        own = slice(at, at + n)
+        a, z = int(starts[at]), int(ends[at + n - 1])
+        same = same and bool((data[a:z] == data[np.arange(a, z) + np.repeat(starts[lead[own]].astype(np.int64) - starts[own], size[own])]).all())
+        at += n
+    if not same:  # two words share a hash
+        text, known = data.tobytes(), {}
+        word = np.fromiter((known.setdefault(text[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        _, reps = np.unique(word, return_index=True)
+    return starts, ends, word, reps
+
+
 def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> DataFrame:
-    """Rows of two kinds. WORDS: of one batch the distinct words of one bucket (key: bucket), and their numbers in the batch. TEXTS: one
-    text as numbers of words (key: batch), with the row's key and a hash of the text."""
+    """Rows of two kinds. WORDS: of one batch the distinct words of one bucket, sorted (key: bucket). TEXTS: the texts of one batch as numbers of
+    words, frequent ones small (key: batch), with places: where among the batch's words, by bucket and then sorted, each number
+    stands; and for each text its row's key, its number of words and its hash."""
     kind = dict(docs.select(key).dtypes)[key]
-    prefix = model.prefix
+    prefix, pairs = model.prefix, model.pairs
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            row = 0
-            while row < len(texts):
-                known: dict[str, int] = {}
-                found, checks, size, first = [], [], 0, row
-                digest = xxhash.xxh3_64()
-                while row < len(texts) and (row == first or size < BATCH_BYTES):
-                    t = texts[row] or ""
-                    size += len(t)
-                    raw = t.encode()
-                    digest.update(len(raw).to_bytes(8, "little") + raw)
+            column, row = batch.column(1), 0
+            while row < batch.num_rows:
+                raws, checks, size, first = [], [], 0, row
+                while row < batch.num_rows and (row == first or size < BATCH_BYTES):
+                    raw = (column[row].as_py() or "").encode()
                     checks.append(xxhash.xxh64_intdigest(raw, 42))
-                    s = t.replace(" ", MARK)
-                    words = _WORD.findall(MARK + s if prefix and s else s)
-                    found.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+                    raw = raw.replace(_MARK, b" ")
+                    raws.append(b" " + raw if prefix and raw else raw)
+                    size += len(raw)
                     row += 1
-                number = int(np.int64(np.uint64(digest.intdigest())))
+                data = b"".join(raws)
+                offsets = np.cumsum([0, *map(len, raws)])
+                del raws
+                number = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(offsets.tobytes() + data))))
+                starts, ends, word, reps = _distinct_words(np.frombuffer(data, np.uint8), offsets)
+                sizes = np.diff(np.searchsorted(starts, offsets))
+                names = [data[a:b].decode().replace(" ", MARK) for a, b in zip(starts[reps].tolist(), ends[reps].tolist(), strict=True)]
                 # Frequent words get small numbers.
-                counts = np.zeros(len(known), np.int64)
-                for f in found:
-                    np.add.at(counts, f, 1)
-                rank = np.empty(len(known), np.int64)
-                rank[np.argsort(-counts, kind="stable")] = np.arange(len(known))
-                names = list(known)
-                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in names), np.int64, len(names))
+                rank = np.empty(len(names), np.int32)
+                rank[np.argsort(-np.bincount(word, minlength=len(names)), kind="stable")] = np.arange(len(names))
+                bucket = np.fromiter((zlib.crc32(halves(w, pairs)[0].encode()) % buckets for w in names), np.int64, len(names))
                 order = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, int)
-                rows = []
+                rows, places = [], np.empty(len(names), np.int64)
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
                     own = sorted(order[a:b].tolist(), key=names.__getitem__)
-                    rows.append((int(bucket[own[0]]), WORDS, number, len(own), _pack_words([names[i] for i in own]), _squeeze(rank[own])))
-                blank = len(rows)
-                rows += [(number, TEXTS, number, len(f), _squeeze(rank[f]), b"") for f in found]
-                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])]
-                ids = pa.concat_arrays([pa.nulls(blank, batch.column(0).type), batch.column(0).slice(first, row - first)])
-                check = pa.array(np.r_[np.zeros(blank, np.uint64), np.array(checks, np.uint64)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([*columns, ids, check], ["key", "kind", "batch", "n", "pack", "at", key, "check"])
+                    places[rank[own]] = np.arange(a, b)
+                    rows.append((int(bucket[own[0]]), WORDS, number, int(bucket[own[0]]), len(own), _pack_words([names[i] for i in own]), None, None, None, None))
+                ids = pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [row - first], pa.int32()), batch.column(0).slice(first, row - first))
+                rows.append((number, TEXTS, number, -1, row - first, _squeeze(rank[word]), _squeeze(places), None, sizes, np.array(checks, np.uint64).view(np.int64)))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), None, pa.list_(pa.int32()), pa.list_(pa.int64())]
+                columns = [ids if t is None else pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SENT.split(", ")])
 
-    return docs.select(key, text).mapInArrow(run, _SENT.format(f"`{key}` {kind}"))
+    return docs.select(key, text).mapInArrow(run, _SENT.format(kind))
 
 
 def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame:
-    """(key, n_ids, ids, check): ids as little-endian 4-byte numbers; check is the XXH64 of the text, seed 42."""
+    """(key, n_ids, ids, check): ids as little-endian numbers, 2 bytes each for models of up to 65,536 pieces, else 4; check is the XXH64 of the text, seed 42."""
     model = load(path)
     kind = dict(docs.select(key).dtypes)[key]
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)), 100_000)
-    source = docs.withColumnRenamed(key, "_id") if key in ("key", "kind", "batch", "n", "pack", "at", "check") else docs
-    name = "_id" if source is not docs else key
-    sent = send(source.select(name, text), name, text, model, buckets).repartition(buckets, "key")
-    words, texts = sent.where(F.col("kind") == WORDS), sent.where(F.col("kind") == TEXTS)
+    # One exchange feeds the three steps below: each reads all its columns and sorts out the kinds itself.
+    sent = send(docs.select(F.col(key).alias("_id"), F.col(text).alias("text")), "_id", "text", model, buckets).repartition(buckets, "key")
+    pairs = model.pairs
 
     def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[str] = set()
-        for pack, n in zip(pdf["pack"], pdf["n"], strict=True):
-            found.update(w for w in _unpack_words(pack, n) if 1 < len(w) <= LONGEST)
-        return pd.DataFrame({"bucket": np.full(len(found), pdf["key"].iloc[0]), "word": sorted(found)})
+        for pack, n, kind in zip(pdf["pack"], pdf["n"], pdf["kind"], strict=True):
+            if kind == WORDS:
+                found.update(halves(w, pairs)[0] for w in _unpack_words(pack, n))
+        return pd.DataFrame({"word": [w for w in found if 1 < len(w) <= LONGEST]}, dtype=object)
 
-    vocabulary = words.select("key", "n", "pack").groupBy("key").applyInPandas(distinct, "bucket long, word string").select("word").repartition(buckets, "word")
+    vocabulary = sent.groupBy("key").applyInPandas(distinct, "word string").repartition(buckets, "word")
     bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("long")
     masks = word_masks(vocabulary, model).select(bucket.alias("key"), "word", "mask").repartition(buckets, "key")
-    ids, byte_ids, unknown, scores, bpe = model.ids, model.bytes, model.unknown, model.scores, model.bpe
+    ids, byte_ids, unknown, scores, bpe, stored = model.ids, model.bytes, model.unknown, model.scores, model.bpe, model.stored
 
     def resolve(sent: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
-        mask = dict(zip(cuts["word"], cuts["mask"].astype("int64"), strict=True)) if len(cuts) else {}
+        mask = dict(zip(cuts["word"].tolist(), cuts["mask"].tolist(), strict=True)) if len(cuts) else {}
         memo: dict[str, list[int]] = {}
         out = []
-        for pack, n, batch, at in zip(sent["pack"], sent["n"], sent["batch"], sent["at"], strict=True):
+        sent = sent[sent["kind"] == WORDS]
+
+        def pieces_of(w: str) -> list[str]:
+            m = mask.get(w)
+            if m is not None:
+                return cut_at(w, m)
+            if len(w) <= LONGEST:
+                return list(w)
+            if bpe:
+                return merge_long(w, scores)
+            raise ValueError(f"a word of more than {LONGEST} characters under a unigram model")
+
+        def whole(w: str) -> list[str]:
+            body, tail = halves(w, pairs)
+            return pieces_of(body) + (merge_long(tail, scores) if tail else [])
+
+        for pack, n, batch, bucket in zip(sent["pack"], sent["n"], sent["batch"], sent["bucket"], strict=True):
             flat, sizes = [], []
             for w in _unpack_words(pack, n):
                 got = memo.get(w)
                 if got is None:
-                    m = mask.get(w)
-                    if m is not None:
-                        parts = cut_at(w, int(m))
-                    elif len(w) <= LONGEST:
-                        parts = list(w)
-                    elif bpe:
-                        parts = merge_long(w, scores)
-                    else:
-                        raise ValueError(f"a word of more than {LONGEST} characters under a unigram model")
-                    got = memo[w] = _ids_of(ids, byte_ids, unknown, parts)
+                    got = memo[w] = _ids_of(ids, byte_ids, unknown, whole(w))
                 flat += got
                 sizes.append(len(got))
-            out.append((batch, n, _squeeze(np.array(sizes, np.uint32)), at, _squeeze(np.array(flat, np.uint32))))
-        return pd.DataFrame(out, columns=["key", "n", "sizes", "at", "ids"])
+            out.append((batch, bucket, _squeeze(np.array(sizes, np.uint32)), _squeeze(np.array(flat, np.uint32))))
+        return pd.DataFrame(out, columns=["key", "bucket", "counts", "values"])
 
-    back = words.select("key", "n", "batch", "pack", "at").groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, n int, sizes binary, at binary, ids binary").repartition(buckets, "key")
+    back = sent.groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, bucket int, counts binary, values binary").repartition(buckets, "key")
 
     def assemble(own: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
-        at = [_loosen(x) for x in packs["at"]]
-        sizes = [_loosen(x) for x in packs["sizes"]]
-        flat = [_loosen(x) for x in packs["ids"]]
-        number = np.concatenate(at).astype(np.int64) if at else np.zeros(0, np.int64)
-        size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        values = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        own, packs = own[own["kind"] == TEXTS], packs.drop_duplicates("bucket").sort_values("bucket")
+        size = np.concatenate([np.zeros(0, np.int64), *[_loosen(x).astype(np.int64) for x in packs["counts"]]])
+        values = np.concatenate([np.zeros(0, stored), *[_loosen(x).astype(stored) for x in packs["values"]]])
         start = np.cumsum(size) - size
-        top = int(number.max()) + 1 if len(number) else 0
-        begin, length = np.zeros(top, np.int64), np.zeros(top, np.int64)
-        begin[number], length[number] = start, size
-        out, counts = [], []
-        for pack in own["pack"]:
-            word = _loosen(pack)
-            k = length[word]
-            ends = np.cumsum(k)
-            place = np.arange(int(ends[-1]) if len(k) else 0) + np.repeat(begin[word] - (ends - k), k)
-            out.append(values[place].astype("<u4").tobytes())
-            counts.append(int(ends[-1]) if len(k) else 0)
-        return pd.DataFrame({"_id": own["_id"].array, "n_ids": counts, "ids": out, "check": own["check"].array})
-
-    rows = texts.select("key", F.col(name).alias("_id"), "pack", "check").groupBy("key").cogroup(back.groupBy("key")).applyInPandas(assemble, f"_id {kind}, n_ids long, ids binary, check long")
+        keys, out, counts, checks = [], [], [], []
+        for pack, places, ids, sizes, hashes in zip(own["pack"], own["places"], own["ids"], own["sizes"], own["checks"], strict=True):
+            place = _loosen(places)
+            words = place[_loosen(pack)]
+            at = 0
+            for k, n, h in zip(ids, sizes, hashes, strict=True):
+                word = words[at : at + n]
+                at += n
+                each = size[word]
+                ends = np.cumsum(each)
+                total = int(ends[-1]) if n else 0
+                out.append(values[np.arange(total) + np.repeat(start[word] - (ends - each), each)].tobytes())
+                keys.append(k)
+                counts.append(total)
+                checks.append(h)
+        return pd.DataFrame({"_id": pd.Series(keys, dtype=object), "n_ids": counts, "ids": out, "check": checks})
+
+    rows = sent.groupBy("key").cogroup(back.groupBy("key")).applyInPandas(assemble, f"_id {kind}, n_ids long, ids binary, check long")
     return rows.withColumnRenamed("_id", key)
 
 
 def decode(rows: DataFrame, key: str, ids: str, path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, text): texts of ids as `encode` stores them."""
     model = load(path)
-    plain, prefix = model.plain, model.prefix
+    plain, prefix, stored = model.plain, model.prefix, model.stored
     types = dict(rows.dtypes)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for data in batch.column(1).to_pylist():
-                raw = b"".join(map(plain.__getitem__, np.frombuffer(data or b"", "<u4").tolist()))
-                out.append((raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(out, pa.string())], [key, *keep, "text"])
+            for i in range(0, batch.num_rows, 1000):
+                part, out = batch.slice(i, 1000), []
+                for data in part.column(1).to_pylist():
+                    raw = b"".join(map(plain.__getitem__, np.frombuffer(data or b"", stored).tolist()))
+                    out.append((raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(out, pa.string())], [key, *keep, "text"])
 
     return rows.select(key, ids, *keep).mapInArrow(run, ", ".join([f"`{key}` {types[key]}", *[f"`{c}` {types[c]}" for c in keep], "text string"]))
 

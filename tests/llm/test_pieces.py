@@ -23,7 +23,7 @@ def test_ids_equal_the_library_and_decode_back(spark):
     rows = list(enumerate(TEXTS + texts(200))) + [(None, "null key"), (3, "again"), (3, "again")]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, key int, pack string").repartition(3)
     out = pieces.encode(df, "doc_id", "text")
-    got = sorted((r.doc_id if r.doc_id is not None else -1, np.frombuffer(r.ids, "<u4").tolist(), r.n_ids) for r in out.collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, np.frombuffer(r.ids, "<u2").tolist(), r.n_ids) for r in out.collect())
     want = sorted((d if d is not None else -1, e := sp.encode(t or ""), len(e)) for d, t in rows)
     assert got == want
     back = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in pieces.decode(out, "doc_id", "ids").collect())
