@@ -25,13 +25,13 @@ than the other; an empty table gives no rows; other input columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,22 +97,31 @@ _KINDS = {"a": np.uint64, "b": np.uint64, "d": np.int64, "t": np.int32, "s": np.
 
 
 def _pack(columns: dict[str, np.ndarray]) -> bytes:
-    parts = [np.ascontiguousarray(columns[k], t).tobytes() for k, t in _KINDS.items() if k in columns]
-    plain = b"".join(p for k, p in zip([k for k in _KINDS if k in columns], parts, strict=True) if k in "ab")
-    small = b"".join(p for k, p in zip([k for k in _KINDS if k in columns], parts, strict=True) if k not in "ab")
-    return plain + zlib.compress(small, 1)
+    """Hashes as they are, then the other columns as byte planes, compressed; documents as steps from one to the next."""
+    wide, small = [], []
+    for k, t in _KINDS.items():
+        if k in columns:
+            x = np.ascontiguousarray(columns[k], t)
+            if k in "ab":
+                wide.append(x.tobytes())
+            else:
+                x = np.diff(x, prepend=t(0)) if k == "d" else x
+                small.append(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return b"".join(wide) + zstandard.compress(b"".join(small), 3)
 
 
 def _unpack(packs: list[bytes], counts: list[int], keys: str) -> dict[str, np.ndarray]:
     out: dict[str, list[np.ndarray]] = {k: [] for k in keys}
     for pack, n in zip(packs, counts, strict=True):
-        wide = [k for k in keys if k in "ab"]
-        raw = pack[: 8 * n * len(wide)] + zlib.decompress(pack[8 * n * len(wide) :])
+        at = 8 * n * sum(k in "ab" for k in keys)
+        raw = pack[:at] + zstandard.decompress(pack[at:])
         at = 0
         for k in keys:
-            size = n * np.dtype(_KINDS[k]).itemsize
-            out[k].append(np.frombuffer(raw[at : at + size], _KINDS[k]))
-            at += size
+            size = np.dtype(_KINDS[k]).itemsize
+            part = np.frombuffer(raw, np.uint8, n * size, at)
+            x = part.view(_KINDS[k]) if k in "ab" else np.ascontiguousarray(part.reshape(size, n).T).view(_KINDS[k]).ravel()
+            out[k].append(np.cumsum(x) if k == "d" else x)
+            at += n * size
     return {k: np.concatenate(v) if v else np.zeros(0, _KINDS[k]) for k, v in out.items()}
 
 
