@@ -28,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers stay resident beside the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def gapless(df: DataFrame, group: list[str], order: list[str], spread: Column, name: str, parts: int = 256) -> DataFrame:
     """Add `name`: 0, 1, 2, ... without gaps inside each group, in the order (spread modulo parts,
     then `order`). Each group is numbered in `parts` independent pieces whose offsets come from a

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, release
 from .tokens import _VALUE, spans_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -254,7 +254,7 @@ def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     pieces = []
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 20), "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 19), "right")) - 1)
         d, at = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         if len(d):
             before = np.r_[np.uint8(0), d[:-1]]
@@ -331,6 +331,8 @@ def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> Da
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), None, pa.list_(pa.int32()), pa.list_(pa.int64())]
                 columns = [ids if t is None else pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SENT.split(", ")])
+                del data, starts, ends, word, reps, sizes, names, rank, bucket, order, rows, places, columns, ids
+                release()
 
     return docs.select(key, text).mapInArrow(run, _SENT.format(kind))
 
@@ -347,6 +349,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     pairs = model.pairs
 
     def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         found: set[str] = set()
         for pack, n, kind in zip(pdf["pack"], pdf["n"], pdf["kind"], strict=True):
             if kind == WORDS:
@@ -359,6 +362,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     ids, byte_ids, unknown, scores, bpe, stored = model.ids, model.bytes, model.unknown, model.scores, model.bpe, model.stored
 
     def resolve(sent: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        release()
         mask = dict(zip(cuts["word"].tolist(), cuts["mask"].tolist(), strict=True)) if len(cuts) else {}
         memo: dict[str, list[int]] = {}
         out = []
@@ -392,6 +396,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     back = sent.groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, bucket int, counts binary, values binary").repartition(buckets, "key")
 
     def assemble(own: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
+        release()
         own, packs = own[own["kind"] == TEXTS], packs.drop_duplicates("bucket").sort_values("bucket")
         size = np.concatenate([np.zeros(0, np.int64), *[_loosen(x).astype(np.int64) for x in packs["counts"]]])
         values = np.concatenate([np.zeros(0, stored), *[_loosen(x).astype(stored) for x in packs["values"]]])
@@ -431,6 +436,7 @@ def decode(rows: DataFrame, key: str, ids: str, path: str = MODEL, keep: tuple[s
                     raw = b"".join(map(plain.__getitem__, np.frombuffer(data or b"", stored).tolist()))
                     out.append((raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(out, pa.string())], [key, *keep, "text"])
+            release()
 
     return rows.select(key, ids, *keep).mapInArrow(run, ", ".join([f"`{key}` {types[key]}", *[f"`{c}` {types[c]}" for c in keep], "text string"]))
 
