@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import lines, packing, pii, quality, simhash
+from lamina.llm import lines, packing, pii, quality, resemblance
 from lamina.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return simhash.deduplicate(docs.select(COLUMNS), "doc_id", "text")
+    """Of each group of near duplicates (Jaccard similarity of five-word shingles 0.8 or more) the smallest doc_id stays."""
+    return resemblance.deduplicate(docs.select(COLUMNS), "doc_id", "text")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
