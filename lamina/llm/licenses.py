@@ -110,6 +110,37 @@ def align(words: np.ndarray, template: np.ndarray, diagonal: int, band: int) ->
     return final
 
 
+def chained(words: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of chains of two or more runs of equal words of a template, in the order of both, no two more
+    than a template's length apart. hits: (word place, template place) of equal grams; each grows into its whole run."""
+    runs, reach = [], {}
+    for j, i in sorted(hits):
+        if reach.get(j - i, -1) > j:
+            continue
+        a = b = 0
+        while min(i, j) - a > 0 and words[j - a - 1] == template[i - a - 1]:
+            a += 1
+        while i + b < len(template) and j + b < len(words) and words[j + b] == template[i + b]:
+            b += 1
+        reach[j - i] = j + b
+        runs.append((j - a, i - a, a + b))
+    runs.sort()
+    best: list[tuple[int, int, int]] = []  # matches, first, runs of the best chain that ends with each run
+    low = 0
+    for k, (j, i, n) in enumerate(runs):
+        top = (n, j, 1)
+        while runs[low][0] + 2 * len(template) < j:
+            low += 1
+        for p in range(low, k):
+            pj, pi, pn = runs[p]
+            # What two runs share in the template or the text counts once.
+            over = max(0, pj + pn - j, pi + pn - i)
+            if pj < j and pi < i and over < n and j - pj - pn <= len(template):
+                top = max(top, (best[p][0] + n - over, best[p][1], best[p][2] + 1), key=lambda c: (c[0], c[1]))
+        best.append(top)
+    return [(m, first, runs[k][0] + runs[k][2]) for k, (m, first, n) in enumerate(best) if n > 1]
+
+
 def scan_rows(data: np.ndarray, offsets: np.ndarray, index: Index, min_coverage: float) -> dict[int, list[tuple[str, float, int, int, int]]]:
     """(license, coverage, matched words, first byte, end byte) of the matches in each row that has any."""
     scan = _Scan(data, offsets)
@@ -141,6 +172,10 @@ def scan_rows(data: np.ndarray, offsets: np.ndarray, index: Index, min_coverage:
             matched, a, b = align(words[lo:hi], template, lo - shift, band)
             if matched >= min_coverage * len(template) and matched:
                 found.setdefault(row, []).append((index.names[t], matched / len(template), matched, int(scan.starts[base + lo + a]), int(scan.ends[base + lo + b - 1])))
+        places = [(g - int(scan.first[row]), g - int(scan.first[row]) - shift) for shift, g in hits]
+        for matched, a, b in chained(words, template, places):
+            if matched >= min_coverage * len(template):
+                found.setdefault(row, []).append((index.names[t], matched / len(template), matched, int(scan.starts[base + a]), int(scan.ends[base + b - 1])))
     for row, matches in found.items():
         matches.sort(key=lambda m: (-m[2], -m[1], m[3], m[0]))
         kept: list = []
