@@ -9,8 +9,8 @@ leftmost first), since the best sum of scores is not what a BPE model encodes. T
 that sent the words, and each text's pieces become ids there, with byte fallback for unknown characters.
 
 The piece table is bounded by the model and broadcast. Words of more than LONGEST characters (a mask is
-one long), and runs of closing punctuation that no piece joins to their word, are merged by a heap in
-Python where they stand, in O(n log n), BPE alone.
+one long), and runs of closing punctuation that no piece joins to their word, are cut in
+Python where they stand: by a heap of merges in O(n log n) for BPE, by Viterbi for unigram models.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give equal ids;
 an empty table gives no rows; other input columns are ignored; a mark in the text itself decodes as a space, as the model cannot tell
@@ -163,6 +163,24 @@ def merge_long(word: str, scores: dict[str, float]) -> list[str]:
     return [p for p in piece if p]
 
 
+def viterbi_long(word: str, scores: dict[str, float], longest: int, unknown: float) -> list[str]:
+    """Unigram pieces of one word: what `viterbi_fold` says, for words of any length."""
+    best, start = [0.0], [0]
+    for e in range(1, len(word) + 1):
+        top, at = best[e - 1] + unknown, e - 1
+        for s in range(e - 1, max(0, e - longest) - 1, -1):
+            score = scores.get(word[s:e])
+            if score is not None and best[s] + score >= top:
+                top, at = best[s] + score, s
+        best.append(top)
+        start.append(at)
+    out, e = [], len(word)
+    while e:
+        out.append(word[start[e] : e])
+        e = start[e]
+    return out[::-1]
+
+
 def cut_at(word: str, mask: int) -> list[str]:
     """Pieces between the cuts of a mask; bit i is a cut before character i."""
     at = [i for i in range(len(word) + 1) if mask >> i & 1]
@@ -359,6 +377,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     vocabulary = sent.groupBy("key").applyInPandas(distinct, "word string").repartition(buckets, "word")
     bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("long")
     masks = word_masks(vocabulary, model).select(bucket.alias("key"), "word", "mask").repartition(buckets, "key")
+    longest, lowest = model.longest, min(model.scores.values()) - 10
     ids, byte_ids, unknown, scores, bpe, stored = model.ids, model.bytes, model.unknown, model.scores, model.bpe, model.stored
 
     def resolve(sent: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
@@ -368,19 +387,20 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
         out = []
         sent = sent[sent["kind"] == WORDS]
 
+        def long_pieces(w: str) -> list[str]:
+            return merge_long(w, scores) if bpe else viterbi_long(w, scores, longest, lowest)
+
         def pieces_of(w: str) -> list[str]:
             m = mask.get(w)
             if m is not None:
                 return cut_at(w, m)
             if len(w) <= LONGEST:
                 return list(w)
-            if bpe:
-                return merge_long(w, scores)
-            raise ValueError(f"a word of more than {LONGEST} characters under a unigram model")
+            return long_pieces(w)
 
         def whole(w: str) -> list[str]:
             body, tail = halves(w, pairs)
-            return pieces_of(body) + (merge_long(tail, scores) if tail else [])
+            return pieces_of(body) + (long_pieces(tail) if tail else [])
 
         for pack, n, batch, bucket in zip(sent["pack"], sent["n"], sent["batch"], sent["bucket"], strict=True):
             flat, sizes = [], []
