@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,20 +13,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that later stages and lost
-    executors start from there. The folder is spark.checkpoint.dir; only a local session without
-    one gets a temporary folder."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
+        name = context.getConf().get("spark.checkpoint.dir", None)
+        if name is None:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="lamina-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+            name = tempfile.mkdtemp(prefix="lamina-checkpoint-")
+        context.setCheckpointDir(name)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared checkpoint folder and read it back, so that later stages and lost
+    executors start from there and read only the columns they need."""
+    path = f"{folder(df.sparkSession)}/lamina-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lamina_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a `cut` that later ones have taken the place of."""
+    name = getattr(df, "_lamina_path", None)
+    if name is not None:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df (a `cut` of a few numbers a row), marked for broadcast if it has at most most_rows rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def release() -> None:
@@ -72,15 +94,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (u, v: long): root is the smallest node
     reachable. Alternates large-star and small-star joins until nothing changes; each round is
-    checkpointed, only its count and checksum come to the driver."""
+    written once and the one before deleted, only its count and checksum come to the driver."""
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
+        seen, old = state, e
         e = cut(_small_star(_large_star(e)))
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

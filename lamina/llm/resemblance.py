@@ -2,13 +2,18 @@
 
 Texts with equal sets of shingles are one node. Nodes meet under BANDS keys of ROWS minima of their shingle
 hashes each: a pair at similarity 0.8 meets with probability 1 - (1 - 0.8**4)**28, so about 4 in 10 million such pairs do
-not. Those that differ by no more than RADIUS bits of their SimHash and whose set sizes allow it are candidates
-and are verified on the words themselves. Every node of a bucket is held against its smallest node first; what that
-joins needs no further comparison, so that a group of copies of any size costs rows in proportion. All pairs of a bucket that
-are still in different components then follow. RADIUS is wide: at similarity 0.8 about 10 of 64 bits differ.
+not. Then
+
+1. the nodes of a bucket (without texts) are compared bit-sliced, and a node goes on if another one lies within RADIUS bits, has a
+   fitting set size and, in a bucket of a later key, shares none of the FIRST keys. RADIUS is wide: at similarity 0.8 about 10 of 64 bits differ;
+2. the texts of those nodes come to their block, where a search spreads from node to node over verified pairs: each node is held
+   against the nodes not yet reached alone, and one link leaves the task for each component reached. The buckets of the FIRST keys go first;
+   of the others only those that still hold several components follow.
+
+Buckets are split into blocks of a bounded number of nodes and bytes that meet two by two, so that no bucket meets in one task.
 
 Defined results: a null text has no words; texts without words are one group; a text with fewer words than a shingle is one
-shingle; a null key stays a row and is never the smallest of a group unless alone; an empty table gives no rows.
+shingle; a null key stays a row and is never the smallest of a group unless alone; rows that share a key stay or go together; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +21,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release
-from .simhash import BLOCK, planes, within
+from .common import components, cut, discard, release, small
+from .simhash import planes, within
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
-BANDS, ROWS, RADIUS = 28, 4, 28
+BANDS, ROWS, FIRST, RADIUS = 28, 4, 7, 28
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -43,12 +49,6 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of `shingles` have Jaccard similarity 0.8 or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * DENOMINATOR >= (len(a) + len(b) - both) * NUMERATOR
-
-
 def sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
     """(SimHash, band keys) of a set of shingles."""
     total, least = np.zeros(64, np.int64), np.full(len(_FACTORS), np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -85,64 +85,104 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.xxhash64(key, text).alias("row"), text).mapInArrow(run, f"`{key}` {kind}, row long, node long, n long, fp long, bands array<long>")
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (u, v) of `pairs` whose texts (node, text) are similar."""
+def _candidates(n: np.ndarray, fp: np.ndarray, early: np.ndarray, radius: int) -> np.ndarray:
+    """Which nodes have another one within the radius, of a fitting size, and without a common early key."""
+    out, base = np.zeros(len(fp), bool), planes(fp)
+    for i in range(0, len(fp), 32):
+        near = np.unpackbits(within(base, fp[i : i + 32], radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)].astype(bool)
+        a, b = np.nonzero(near)
+        a += i
+        fits = (a != b) & (np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR)
+        a, b = a[fits], b[fits]
+        out[a[~(early[a] == early[b]).any(axis=1)] if early.shape[1] else a] = True
+    return out
+
+
+def joined(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+    """(member, centre) links that connect the sets (`shingles`) exactly as equal roots and all pairs of similarity 0.8 or more do."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    ends = np.cumsum(sizes)
+    flag = np.zeros(len(codes) + 1, np.int32)
+    left, flat = np.arange(len(sets)), codes  # the nodes not yet reached, and their codes
+    links: list[tuple[int, int]] = []
+    frontier: list[int] = []
+    centre = -1
+    while len(left):
+        if frontier:
+            i = frontier.pop()
+            own = codes[ends[i] - sizes[i] : ends[i]]
+            flag[own] = 1
+            both = np.add.reduceat(flag[flat], np.cumsum(sizes[left]) - sizes[left]).astype(np.int64)
+            flag[own] = 0
+            near = both * DENOMINATOR >= (sizes[left] + sizes[i] - both) * NUMERATOR
+            near = np.isin(root[left], root[left[near]]) if near.any() else near
+            reached = left[near]
+            links += [(int(j), centre) for j in reached[np.unique(root[reached], return_index=True)[1]]]
+        else:
+            centre = int(left[0])
+            near = root[left] == root[centre]
+            reached = left[near]
+        frontier += reached.tolist()
+        if len(reached):
+            flat = flat[np.repeat(~near, sizes[left])]
+            left = left[~near]
+    return links
+
+
+def _groups(batches):
+    """(g, rows) of each run of equal first columns over Arrow batches sorted by it."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        begin = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
+        if rest and rest[0].column(0)[0].as_py() != g[0]:
+            yield pa.Table.from_batches(rest).combine_chunks()
+            rest = []
+        for a, z in zip(begin, begin[1:], strict=False):
+            yield pa.Table.from_batches([*rest, batch.slice(a, z - a)]).combine_chunks()
+            rest = []
+        rest.append(batch.slice(begin[-1]))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def active(marks: DataFrame, radius: int) -> DataFrame:
+    """(g, first, node): the nodes of `marks` (node, n, fp, bands) with a candidate, once for each block g where they have it; first: under one of the FIRST keys."""
+    keyed = marks.select("node", "n", F.posexplode("bands").alias("band", "bucket")).select("node", "n", "bucket", (F.col("band") < FIRST).alias("first"))
+    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
+    own = keyed.drop("n").join(counts.select("bucket", blocks.alias("k")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "first", "node")
+    # Only nodes that meet others get their columns.
+    dealt = dealt.join(marks.select("node", "n", "fp", F.slice("bands", 1, FIRST).alias("early")), "node").select("g", "first", "node", "n", "fp", F.when(F.col("first"), F.array().cast("array<long>")).otherwise(F.col("early")).alias("early"))
 
     def run(batches):
-        last, centre = None, None
-        for batch in batches:
-            keep = []
-            for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last != v:
-                    last, centre = v, shingles(b.as_py().encode())
-                keep.append(similar(shingles(a.as_py().encode()), centre))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
-        release()
+        for rows in _groups(batches):
+            node, n, fp = (rows.column(k).to_numpy() for k in (2, 3, 4))
+            early = rows.column(5).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            hit = pa.array(_candidates(n, fp.view(np.uint64), early, radius))
+            yield from rows.select([0, 1, 2]).filter(hit).to_batches()
 
-    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, first boolean, node long")
 
 
-def _pairs(node: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components within the radius whose sizes allow them, by bit slices."""
-    us, vs = [], []
-    base = planes(fp)
-    for i in range(0, len(fp), 32):
-        near = np.unpackbits(within(base, fp[i : i + 32], radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)].astype(bool)
-        a, b = np.nonzero(near & (root[i : i + 32, None] != root[None, :]) & (node[i : i + 32, None] > node[None, :]))
-        x, y = n[a + i], n[b]
-        fits = np.minimum(x, y) * DENOMINATOR >= np.maximum(x, y) * NUMERATOR
-        us.append(node[a + i][fits])
-        vs.append(node[b][fits])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _across(met: DataFrame, radius: int) -> DataFrame:
-    """Distinct candidate pairs (u, v) of nodes in one bucket (bucket, node, n, fp, root) and different components."""
-    counts = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
-    own = met.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "n", "fp", "root")
+def verified(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) links between the nodes of each block of met (g, node, root), whose texts are (node, text)."""
 
     def run(batches):
-        rest = [np.zeros(0, np.int64)] * 5
-        for batch in [*batches, None]:
-            new = [np.zeros(0, np.int64)] * 5 if batch is None else [c.to_numpy() for c in batch.columns]
-            rest = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            g = rest[0]
-            last = len(g) if batch is None else int(np.searchsorted(g, g[-1])) if len(g) else 0
-            begin = np.flatnonzero(np.r_[True, g[1:last] != g[: last - 1]]) if last else np.zeros(0, int)
-            for a, b in zip(begin, [*begin[1:], last], strict=True):
-                u, v = _pairs(rest[1][a:b], rest[2][a:b], rest[3][a:b].view(np.uint64), rest[4][a:b], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-            rest = [x[last:] for x in rest]
+        release()
+        for rows in _groups(batches):
+            node = rows.column(1).to_numpy()
+            links = joined([shingles(t.as_py().encode()) for t in rows.column(3)], rows.column(2).to_numpy())
+            ends = [pa.array(node[np.array([x[k] for x in links], np.int64)]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["u", "v"])
+        release()
 
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
+    return met.join(texts, "node").select("g", "node", "root", "text").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:
@@ -150,25 +190,25 @@ def near_duplicates(df: DataFrame, key: str, text: str, radius: int = RADIUS) ->
     rows = cut(sketches(df, key, text))
     nodes = rows.groupBy("node").agg(F.min(key).alias("least"), F.min("row").alias("row"))
     # Copies of a node agree in these columns.
-    marks = rows.join(nodes.select("row", "node"), ["row", "node"], "left_semi").select("node", "n", "fp", "bands").dropDuplicates(["node"])
-    keyed = marks.where("n > 0").select("node", "n", "fp", F.explode("bands").alias("bucket"))
-    centres = keyed.groupBy("bucket").agg(F.min(F.struct("node", "n", "fp")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "c")
-    met = cut(keyed.join(centres, "bucket"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= radius
-    star = met.where((F.col("node") != F.col("c.node")) & _sizes_allow(F.col("n"), F.col("c.n")) & near).select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
-    needed = nodes.join(met.select("node").distinct(), "node").select("row", "node")
-    texts = cut(df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).join(needed, "row").select("node", "text").dropDuplicates(["node"]))
-    links = cut(verified(star, texts))
-    found = components(links)
-    rooted = met.join(found, met.node == found.node, "left").select("bucket", met.node, "n", "fp", F.coalesce("root", met.node).alias("root"))
-    links = links.union(verified(_across(rooted, radius), texts))
-    found = components(links)
+    marks = cut(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    met = cut(active(marks, radius))
+    needed = cut(met.select("node").distinct().join(marks.select("node", "row"), "node"))
+    texts = cut(df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).join(small(needed), "row").select("node", "text").dropDuplicates(["node"]))
+    discard(marks)
+    first = components(verified(met.where("first").select("g", "node", F.col("node").alias("root")), texts))
+    rest = met.where("not first").select("g", "node").join(first, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rest.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    links = verified(rest.join(open_, "g"), texts)
+    found = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
     rooted = nodes.join(found, nodes.node == found.node, "left").select(nodes.node, "least", F.coalesce("root", nodes.node).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    for done in (met, needed, texts):
+        discard(done)
     return rows.select(key, "node").join(rooted.select("node", "root").join(named, "root").select("node", "component"), "node").select(key, "component")
 
 
 def deduplicate(df: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:
     """The rows of df whose key is the smallest of their group; rows that share a key stay or go together."""
-    kept = near_duplicates(df, key, text, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_lamina_kept")).distinct()
-    return df.join(kept, F.col(key).eqNullSafe(F.col("_lamina_kept")), "left_semi")
+    stays = near_duplicates(df, key, text, radius).groupBy(key).agg(F.max(F.col(key).eqNullSafe(F.col("component"))).alias("_lamina_stays"))
+    gone = cut(stays.where("not _lamina_stays").select(F.col(key).alias("_lamina_gone")))
+    return df.join(small(gone), F.col(key).eqNullSafe(F.col("_lamina_gone")), "left_anti")
