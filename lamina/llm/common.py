@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,13 @@ def discard(df: DataFrame | None) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df stored on the executors' disks while several jobs read it; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """df (a `cut` of a few numbers a row), marked for broadcast if it has at most most_rows rows; a larger one is joined by shuffle."""
+    """df (stored, a few numbers a row), marked for broadcast if it has at most most_rows rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.count() <= most_rows else df
 
 

@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, release, small
+from .common import components, cut, discard, kept, release, small
 from .simhash import planes, within
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 BANDS, ROWS, FIRST, RADIUS = 28, 4, 7, 28
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -49,6 +49,12 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of `shingles` have Jaccard similarity 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * DENOMINATOR >= (len(a) + len(b) - both) * NUMERATOR
+
+
 def sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
     """(SimHash, band keys) of a set of shingles."""
     total, least = np.zeros(64, np.int64), np.full(len(_FACTORS), np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -85,16 +91,35 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.xxhash64(key, text).alias("row"), text).mapInArrow(run, f"`{key}` {kind}, row long, node long, n long, fp long, bands array<long>")
 
 
-def _candidates(n: np.ndarray, fp: np.ndarray, early: np.ndarray, radius: int) -> np.ndarray:
-    """Which nodes have another one within the radius, of a fitting size, and without a common early key."""
-    out, base = np.zeros(len(fp), bool), planes(fp)
-    for i in range(0, len(fp), 32):
-        near = np.unpackbits(within(base, fp[i : i + 32], radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)].astype(bool)
-        a, b = np.nonzero(near)
-        a += i
-        fits = (a != b) & (np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR)
-        a, b = a[fits], b[fits]
-        out[a[~(early[a] == early[b]).any(axis=1)] if early.shape[1] else a] = True
+def _fits(a: np.ndarray, b: np.ndarray, n: np.ndarray, early: np.ndarray) -> np.ndarray:
+    fits = np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR
+    return fits & ~(early[a] == early[b]).any(axis=1)
+
+
+def _candidates(g: np.ndarray, n: np.ndarray, fp: np.ndarray, early: np.ndarray, radius: int) -> np.ndarray:
+    """Which nodes have another one in their run of equal g within the radius, of a fitting size, and without a common early key."""
+    out = np.zeros(len(g), bool)
+    begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    size = np.diff(np.r_[begin, len(g)])
+    # Small runs share bit-sliced passes whose lanes are their pairs.
+    for m in np.unique(size[(size > 1) & (size <= 16)]):
+        at = begin[size == m]
+        i, j = np.triu_indices(m, 1)
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        for k in range(0, len(a), 1 << 18):
+            x, y = a[k : k + (1 << 18)], b[k : k + (1 << 18)]
+            near = np.unpackbits(within(planes(fp[x] ^ fp[y]), np.zeros(1, np.uint64), radius)[0].view(np.uint8), bitorder="little")[: len(x)].astype(bool)
+            x, y = x[near], y[near]
+            fits = _fits(x, y, n, early)
+            out[x[fits]] = out[y[fits]] = True
+    for k in np.flatnonzero(size > 16):
+        lo, hi = begin[k], begin[k] + size[k]
+        base = planes(fp[lo:hi])
+        for i in range(lo, hi, 32):
+            near = np.unpackbits(within(base, fp[i : min(i + 32, hi)], radius).view(np.uint8), axis=1, bitorder="little")[:, : hi - lo].astype(bool)
+            a, b = np.nonzero(near)
+            a, b = a + i, b + lo
+            out[a[(a != b) & _fits(a, b, n, early)]] = True
     return out
 
 
@@ -130,6 +155,17 @@ def joined(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def _ended(batches):
+    """The batches that hold rows, then None if there was one."""
+    some = False
+    for batch in batches:
+        if batch.num_rows:
+            some = True
+            yield batch
+    if some:
+        yield None
+
+
 def _groups(batches):
     """(g, rows) of each run of equal first columns over Arrow batches sorted by it."""
     rest: list[pa.RecordBatch] = []
@@ -157,15 +193,23 @@ def active(marks: DataFrame, radius: int) -> DataFrame:
     own = keyed.drop("n").join(counts.select("bucket", blocks.alias("k")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "first", "node")
-    # Only nodes that meet others get their columns.
-    dealt = dealt.join(marks.select("node", "n", "fp", F.slice("bands", 1, FIRST).alias("early")), "node").select("g", "first", "node", "n", "fp", F.when(F.col("first"), F.array().cast("array<long>")).otherwise(F.col("early")).alias("early"))
+    # Only nodes that meet others get their columns. Under a first key nothing is earlier: there the keys are numbers that no two rows share.
+    early = F.when(F.col("first"), F.transform(F.sequence(F.lit(1), F.lit(FIRST)), lambda i: F.xxhash64("node", i))).otherwise(F.slice("bands", 1, FIRST)).alias("early")
+    dealt = dealt.join(marks.select("node", "n", "fp", "bands"), "node").select("g", "first", "node", "n", "fp", early)
 
     def run(batches):
-        for rows in _groups(batches):
-            node, n, fp = (rows.column(k).to_numpy() for k in (2, 3, 4))
-            early = rows.column(5).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            hit = pa.array(_candidates(n, fp.view(np.uint64), early, radius))
-            yield from rows.select([0, 1, 2]).filter(hit).to_batches()
+        rest: list[pa.RecordBatch] = []
+        for batch in _ended(batches):
+            if batch is not None and rest and rest[0].column(0)[0].as_py() == batch.column(0)[-1].as_py():
+                rest.append(batch)
+                continue
+            rows = pa.Table.from_batches([*rest, *([] if batch is None else [batch])], schema=(rest or [batch])[0].schema).combine_chunks()
+            g = rows.column(0).to_numpy()
+            last = len(g) if batch is None else int(np.searchsorted(g, g[-1]))
+            rest = rows.slice(last).to_batches()
+            early = rows.column(5).combine_chunks().values.to_numpy().reshape(-1, FIRST)
+            hit = _candidates(g[:last], rows.column(3).to_numpy(), rows.column(4).to_numpy().view(np.uint64), early, radius)
+            yield from rows.select([0, 1, 2]).slice(0, last).filter(pa.array(hit)).to_batches()
 
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, first boolean, node long")
 
@@ -187,24 +231,24 @@ def verified(met: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:
     """(key, component): component is the smallest key among all rows reachable over pairs of similarity 0.8 or more."""
-    rows = cut(sketches(df, key, text))
+    rows = kept(sketches(df, key, text))
     nodes = rows.groupBy("node").agg(F.min(key).alias("least"), F.min("row").alias("row"))
     # Copies of a node agree in these columns.
     marks = cut(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     met = cut(active(marks, radius))
     needed = cut(met.select("node").distinct().join(marks.select("node", "row"), "node"))
     texts = cut(df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).join(small(needed), "row").select("node", "text").dropDuplicates(["node"]))
-    discard(marks)
     first = components(verified(met.where("first").select("g", "node", F.col("node").alias("root")), texts))
     rest = met.where("not first").select("g", "node").join(first, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
     open_ = rest.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    links = verified(rest.join(open_, "g"), texts)
-    found = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
+    found = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(verified(rest.join(open_, "g"), texts)))
     rooted = nodes.join(found, nodes.node == found.node, "left").select(nodes.node, "least", F.coalesce("root", nodes.node).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    for done in (met, needed, texts):
+    out = cut(rows.select(key, "node").join(rooted.select("node", "root").join(named, "root").select("node", "component"), "node").select(key, "component"))
+    rows.unpersist()
+    for done in (marks, met, needed, texts):
         discard(done)
-    return rows.select(key, "node").join(rooted.select("node", "root").join(named, "root").select("node", "component"), "node").select(key, "component")
+    return out
 
 
 def deduplicate(df: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:

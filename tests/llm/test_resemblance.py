@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from lamina.llm import resemblance
 
 
@@ -64,3 +65,29 @@ def test_null_key_and_empty_table(spark):
     df = spark.createDataFrame([(None, text), (3, text + " more"), (4, text)], "k long, t string")
     assert [r.k for r in resemblance.deduplicate(df, "k", "t").collect()] == [3]
     assert resemblance.deduplicate(df.limit(0), "k", "t").count() == 0
+
+
+def test_spread_equals_all_pairs():
+    rng = random.Random(3)
+    for _ in range(20):
+        rows = [t for _, t in sample(rng.randrange(10**6))][:60]
+        sets = [resemblance.shingles((t or "").encode()) for t in rows]
+        sets = [s for s in sets if len(s)]
+        root = np.array([i if rng.random() < 0.9 else rng.randrange(i + 1) for i in range(len(sets))])
+
+        def groups(links):
+            at = list(range(len(sets)))
+
+            def find(i):
+                while at[i] != i:
+                    i = at[i]
+                return i
+
+            for a, b in [*links, *((i, int(np.flatnonzero(root == r)[0])) for i, r in enumerate(root))]:
+                a, b = find(a), find(b)
+                at[max(a, b)] = min(a, b)
+            return [find(i) for i in range(len(sets))]
+
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if resemblance.similar(sets[i], sets[j])]
+        links = resemblance.joined(sets, root)
+        assert groups(links) == groups(pairs) and len(links) <= len(sets)
