@@ -7,7 +7,8 @@ hash over the whole table; every chunk that equals the earliest of its hash byte
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line; a null doc_id
 comes last; rows that share a doc_id are ordered by text hash, and exact repeats of such a row keep the
-same lines; an empty table gives no rows; other columns are kept by `remove_chunks`.
+same lines; an empty table gives no rows; other columns are kept by `remove_chunks`, whose _n_lines and _n_removed take the place of
+input columns of those names; names that begin with _lamina are taken.
 """
 
 from __future__ import annotations
@@ -45,9 +46,11 @@ def chunked(docs: DataFrame, key: str, text: str, window: int = WINDOW, divisor:
 
 def repeated_chunks(docs: DataFrame, key: str, text: str, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc, t, first, n): chunks of at least min_lines lines that equal an earlier chunk."""
-    body = lambda c: F.array_join(F.slice("lines", c["first"], c["n"]), "\n")
-    rows = chunked(docs.where(F.col(text).isNotNull()), key, text, window, divisor).select("doc", "t", "lines", F.explode(F.filter("chunks", lambda c: c["n"] >= min_lines)).alias("c"))
-    rows = rows.select("doc", "t", F.col("c.first").alias("first"), F.coalesce("c.n", F.lit(0)).alias("n"), F.coalesce(body(F.col("c")), F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
+    # The bodies are cut out inside the row, so that no exploded row carries its whole text.
+    cut_out = lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.array_join(F.slice("lines", c["first"], c["n"]), "\n").alias("body"))
+    pieces = F.transform(F.filter("chunks", lambda c: c["n"] >= min_lines), cut_out)
+    rows = chunked(docs.where(F.col(text).isNotNull()), key, text, window, divisor).select("doc", "t", F.explode(pieces).alias("c"))
+    rows = rows.select("doc", "t", F.col("c.first").alias("first"), F.coalesce("c.n", F.lit(0)).alias("n"), F.coalesce("c.body", F.lit("")).alias("body")).withColumn("hash", F.xxhash64("body"))
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "t", "first")
     groups = cut(rows.groupBy("hash").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     # A hash with over a thousandth of the copies is hot: fewer than 1,000 can be, so they are broadcast, and each is dealt to several tasks.
@@ -71,12 +74,13 @@ def remove_chunks(docs: DataFrame, key: str, text: str, window: int = WINDOW, di
     # What stays: from the end of each gone chunk to the start of the next.
     starts = F.concat(F.array(F.lit(1)), F.transform("_lamina_gone", lambda g: g["first"] + g["n"]))
     ends = F.concat(F.transform("_lamina_gone", lambda g: g["first"]), F.array(size + 1))
-    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(lines, x["a"], x["b"] - x["a"])))
+    # The lines are bound once for all slices, as the elements of a one-element array.
+    kept = F.transform(F.array(lines), lambda ls: F.array_join(F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(ls, x["a"], x["b"] - x["a"]))), "\n"))[0]
     removed = F.coalesce(F.aggregate("_lamina_gone", F.lit(0), lambda s, g: s + g["n"]), F.lit(0))
     return (
         joined.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(size).cast("long"))
         .withColumn("_n_removed", removed.cast("long"))
-        .withColumn(text, F.when(F.col("_lamina_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+        .withColumn(text, F.when(F.col("_lamina_gone").isNull(), F.col(text)).otherwise(kept))
         .drop("_lamina_gone")
     )
 

@@ -2,13 +2,13 @@
 
 The tagger is trained in numpy from labelled spans (generated sentences whose personal data is known by
 construction) and reads a text in overlapping windows of WINDOW characters. Each window is decoded by Viterbi
-under BIO transitions; windows are reconciled over the whole text: at every character the tag of the
-window in whose middle it lies counts, and spans are then joined over window borders. A span counts if it holds a digit or
-@ and has the shape of its kind (digits of a card pass Luhn, and so on), so a window without digit or @
-cannot add one and need not be decoded. Pattern spans always stay; a tagged span that touches one is dropped.
+under BIO transitions; windows are reconciled over the whole text: the path of one window goes over to that of the next where the joined
+path scores best. Spans are then widened to whole words and must have the facts of their kind (an address its @ and dot, a card
+its Luhn digits, and so on), so decoding starts at windows near a digit or @, and goes on from there
+while a tag is open at the border. Pattern spans always stay; a tagged span that touches one is dropped.
 
 Defined results: a null text is the empty text; offsets are code points, ends exclusive; repeated rows give
-equal spans; an empty table gives no rows; other input columns are ignored (find) or kept (redact).
+equal spans; a span may have any length; an empty table gives no rows; other input columns are ignored (find) or kept (redact).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .common import documents
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
 HIDDEN, EMBED = 16, 8
+PART = 1 << 20
 _TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 # ---- patterns ------------------------------------------------------------------------------------------
@@ -322,56 +323,164 @@ def train(sentences: int = 1200, epochs: int = 5, seed: int = 7) -> dict:
     return model
 
 
-_SHAPE = {
-    "email": re.compile(r"[^\s@]+@[^\s@]+\.[^\s@.]+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
-    "card": re.compile(r"[0-9](?:[ ./-]?[0-9])+"),
-    "phone": re.compile(r"(?:\+[0-9]|\([0-9]{2,4}\)|[0-9]{3}[-. ][0-9]{3}[-. ])[ ().0-9-]+[0-9]"),
-}
+_INNER = {"email": frozenset("._%+-"), "ip": frozenset("."), "card": frozenset(), "phone": frozenset("+(")}
 
 
-def tagged_spans(texts: list[str], model: dict) -> list[list[tuple[str, int, int]]]:
-    """Spans that the tagger finds in each text, of any length."""
-    codes = [encode(t) for t in texts]
-    where, xs = [], []
-    tags = [np.zeros(len(c), np.int8) for c in codes]
-    for r, c in enumerate(codes):
-        hot = np.flatnonzero((c == 2) | (c == 3))
-        if not len(hot):
-            continue
-        # Windows start at multiples of STRIDE from -STRIDE / 2; each owns its middle STRIDE characters.
-        # An owner of a character within a span's reach of a digit or @ is decoded.
-        own = np.unique(np.concatenate([(hot + d) // STRIDE for d in (-STRIDE, 0, STRIDE)]))
-        for k in own[(own >= 0) & (own * STRIDE < len(c))].tolist():
-            a = k * STRIDE - (WINDOW - STRIDE) // 2
-            part = np.zeros(WINDOW, np.uint8)
-            lo, hi = max(a, 0), min(a + WINDOW, len(c))
-            part[lo - a : hi - a] = c[lo:hi]
-            where.append((r, k * STRIDE))
-            xs.append(part)
-    side = (WINDOW - STRIDE) // 2
-    for i in range(0, len(xs), 1024):
-        best = viterbi(model, emissions(model, np.array(xs[i : i + 1024])))
-        for (r, at), row in zip(where[i : i + 1024], best, strict=True):
-            end = min(at + STRIDE, len(tags[r]))
-            tags[r][at:end] = row[side : side + end - at]
+def _sound(kind: str, s: str) -> bool:
+    """The facts that a span of a kind must have, whatever its shape: the @ and dots of an address, numbers up to 255, digit counts, Luhn."""
+    if kind == "email":
+        name, at, host = s.partition("@")
+        return bool(name and at) and "." in host.strip(".") and "@" not in host and not any(c.isspace() for c in s)
+    if any(c.isalpha() for c in s):
+        return False
+    groups = re.findall(r"[0-9]+", s)
+    if kind == "ip":
+        return len(groups) == 4 and all(map(_small, groups)) and s.count(".") == 3 == len(s) - sum(map(len, groups))
+    if kind == "card":
+        return _valid(kind, s)
+    return _valid(kind, s) and max(map(len, groups)) >= 3 and (len(groups) > 1 or s[0] == "+") and s.count(".") < 3
+
+
+def _stretches(ks: np.ndarray) -> np.ndarray:
+    """Whether window ks[i] follows window ks[i - 1] without a gap."""
+    return np.r_[False, ks[1:] == ks[:-1] + 1] if len(ks) else np.zeros(0, bool)
+
+
+def _reconciled(ks: np.ndarray, tags: np.ndarray, score: np.ndarray, a: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(start, tags) of each stretch of overlapping windows. Of two neighbours the one path goes over to the other at the place in their
+    overlap where the joined path has the best score. score: log-probability of each tag's emission plus the transition into it."""
+    total = np.concatenate([np.zeros((len(ks), 1), score.dtype), np.cumsum(score, axis=1)], axis=1)
+    follow = np.flatnonzero(_stretches(ks))
+    overlap = WINDOW - STRIDE
+    # Going over before character c of the overlap: the left path up to c, a step, the right path from c on.
+    left, right = tags[follow - 1, STRIDE - 1 : -1], tags[follow, : overlap]
+    step = a[left, right] - np.where(np.arange(overlap) > 0, a[np.r_["1", right[:, :1], right[:, :-1]], right], 0)
+    joint = total[follow - 1, STRIDE : WINDOW] - total[follow - 1, STRIDE, None] + total[follow, overlap, None] - total[follow, :overlap] + step
+    go = np.zeros(len(ks), np.int64)
+    go[follow] = joint.argmax(1)
     out = []
-    for text, tag in zip(texts, tags, strict=True):
-        spans = []
-        hit = np.flatnonzero(tag)
-        if len(hit):
-            kind = (tag[hit] - 1) // 2
-            new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (kind[1:] != kind[:-1]) | (tag[hit][1:] % 2 == 1)]
-            first = np.flatnonzero(new)
-            for a, b in zip(first, np.r_[first[1:], len(hit)], strict=True):
-                name, lo, hi = KINDS[kind[a]], int(hit[a]), int(hit[b - 1]) + 1
-                s = text[lo:hi]
-                if _SHAPE[name].fullmatch(s) and (name == "email" or _valid(name, s)) and not (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum()):
-                    spans.append((name, lo, hi))
-        out.append(spans)
+    begins = np.flatnonzero(~_stretches(ks))
+    for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(ks)], strict=True):
+        # A window gives its tags from its own crossing to that of the next one.
+        ends = np.full(j - i, WINDOW)
+        ends[:-1] = STRIDE + go[i + 1 : j]
+        parts = [tags[r, go[r] : e] for r, e in zip(range(i, j), ends.tolist(), strict=True)]
+        start = int(ks[i]) * STRIDE - (WINDOW - STRIDE) // 2
+        joined = np.concatenate(parts)
+        out.append((max(start, 0), joined[max(0, -start) : length - start]))
     return out
 
 
+def _decode(codes: list[np.ndarray], ks: list[np.ndarray], model: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(tags, scores) of windows ks[r] of each text. Window k starts at k * STRIDE - (WINDOW - STRIDE) / 2."""
+    where = np.repeat(np.arange(len(ks)), [len(k) for k in ks])
+    flat = np.concatenate([*ks, np.zeros(0, np.int64)])
+    tags, score = np.empty((len(flat), WINDOW), np.int8), np.empty((len(flat), WINDOW), np.float32)
+    for i in range(0, len(flat), 1024):
+        x = np.zeros((min(1024, len(flat) - i), WINDOW), np.uint8)
+        for row, r, k in zip(x, where[i : i + 1024].tolist(), flat[i : i + 1024].tolist(), strict=True):
+            at = k * STRIDE - (WINDOW - STRIDE) // 2
+            part = codes[r][max(at, 0) : at + WINDOW]
+            row[max(-at, 0) : max(-at, 0) + len(part)] = part
+        e = emissions(model, x)
+        own = tags[i : i + 1024] = viterbi(model, e)
+        top = e.max(2)
+        best = np.take_along_axis(e, own.T[:, :, None].astype(np.int64), 2)[:, :, 0] - top - np.log(np.exp(e - top[:, :, None]).sum(2))
+        score[i : i + 1024] = best.T
+        score[i : i + 1024, 1:] += model["A"][own[:, :-1], own[:, 1:]]
+    cuts = np.cumsum([0, *map(len, ks)])
+    return [(tags[a:b], score[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _parts(codes: np.ndarray):
+    """(offset, codes) of the pieces of a text of about PART characters, cut where no digit or @ is near, so that they decode as the whole does."""
+    at = 0
+    if len(codes) > PART:
+        hot = np.flatnonzero((codes == 2) | (codes == 3))
+        lone = np.flatnonzero(np.diff(np.r_[hot, len(codes)]) > 6 * WINDOW)
+        for place in hot[lone].tolist():
+            cut = -(-(place + 3 * WINDOW) // STRIDE) * STRIDE
+            if cut - at >= PART and cut < len(codes):
+                yield at, codes[at:cut]
+                at = cut
+    yield at, codes[at:]
+
+
+def _tags_of(codes: list[np.ndarray], model: dict) -> list[list[tuple[int, np.ndarray]]]:
+    """The stretches of tags of each text: windows near a digit or @, and on from there while a tag is open at a stretch's border."""
+    known = []
+    wanted = []
+    for c in codes:
+        hot = np.flatnonzero((c == 2) | (c == 3))
+        ks = np.unique(np.concatenate([(hot + d) // STRIDE for d in (-STRIDE, 0, STRIDE)]))
+        wanted.append(ks[(ks >= 0) & (ks * STRIDE < len(c))])
+        known.append((np.zeros(0, np.int64), np.zeros((0, WINDOW), np.int8), np.zeros((0, WINDOW), np.float32)))
+    reach = 1
+    while any(map(len, wanted)):
+        for r, (tags, score) in enumerate(_decode(codes, wanted, model)):
+            if len(wanted[r]):
+                ks, old, seen = known[r]
+                order = np.argsort(np.r_[ks, wanted[r]], kind="stable")
+                known[r] = (np.r_[ks, wanted[r]][order], np.concatenate([old, tags])[order], np.concatenate([seen, score])[order])
+        nxt = []
+        for c, (ks, tags, _), new in zip(codes, known, wanted, strict=True):
+            more = np.zeros(0, np.int64)
+            if len(new):
+                # The border windows of the stretches; their tags at the edge tell whether a span goes on there.
+                first, last = ~_stretches(ks), np.r_[~_stretches(ks)[1:], True]
+                side = (WINDOW - STRIDE) // 2
+                back, on = ks[first & (tags[:, side] > 0)], ks[last & (tags[:, WINDOW - side - 1] > 0)]
+                steps = np.arange(1, reach + 1)
+                more = np.unique(np.r_[(back[:, None] - steps).ravel(), (on[:, None] + steps).ravel()])
+                more = np.setdiff1d(more[(more >= 0) & (more * STRIDE < len(c))], ks)
+            nxt.append(more)
+        wanted, reach = nxt, reach * 2
+    return [_reconciled(ks, tags, score, model["A"], len(c)) if len(ks) else [] for c, (ks, tags, score) in zip(codes, known, strict=True)]
+
+
+def _widened(text: str, kind: str, lo: int, hi: int, floor: int) -> tuple[int, int]:
+    """The span with the letters, digits and inner marks of its kind that touch it, as far left as `floor`."""
+    inner = _INNER[kind]
+    while lo > floor and (text[lo - 1].isalnum() or text[lo - 1] in inner):
+        lo -= 1
+    while hi < len(text) and text[hi].isalnum():
+        hi += 1
+    return lo, hi
+
+
+def tagged_spans(texts: list[str], model: dict) -> list[list[tuple[str, int, int]]]:
+    """Spans that the tagger finds in each text, of any length: tags reconciled over all windows, widened to whole words, sound for their kind."""
+    spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    done = [0] * len(texts)
+
+    def take(group: list[tuple[int, int, np.ndarray]]) -> None:
+        for (i, offset, _), stretches in zip(group, _tags_of([c for _, _, c in group], model), strict=True):
+            for start, tag in stretches:
+                hit = np.flatnonzero(tag)
+                if not len(hit):
+                    continue
+                kind = (tag[hit] - 1) // 2
+                new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (kind[1:] != kind[:-1]) | (tag[hit][1:] % 2 == 1)]
+                first = np.flatnonzero(new)
+                for a, b in zip(first, np.r_[first[1:], len(hit)], strict=True):
+                    name, lo, hi = KINDS[kind[a]], offset + start + int(hit[a]), offset + start + int(hit[b - 1]) + 1
+                    if lo >= done[i]:
+                        lo, done[i] = _widened(texts[i], name, lo, hi, done[i])
+                        if _sound(name, texts[i][lo : done[i]]):
+                            spans[i].append((name, lo, done[i]))
+
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        for offset, codes in _parts(encode(text)):
+            group.append((i, offset, codes))
+            size += len(codes)
+            if size >= PART:
+                take(group)
+                group, size = [], 0
+    take(group)
+    return spans
+
+
 def find_spans(texts: list[str], model: dict) -> list[tuple[list, list]]:
     """(pattern spans, all spans) of each text, sorted by kind as listed, then start."""
     out = []
@@ -393,14 +502,15 @@ def _line(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _hot_only(texts: list[str | None], model: dict, rows: int = 500):
-    """(pattern spans, all spans) of each text; texts without digit or @ cannot have any."""
+def _hot_only(texts: list[str | None], model: dict):
+    """(pattern spans, all spans) of each text, about PART characters at a time; texts without digit or @ cannot have any."""
     found: list = [([], [])] * len(texts)
     hot = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-    for i in range(0, len(hot), rows):
-        own = hot[i : i + rows]
-        for k, spans in zip(own, find_spans([texts[j] for j in own], model), strict=True):
-            found[k] = spans
+    ends = np.cumsum([len(texts[i]) for i in hot]) // PART
+    for k in np.unique(ends).tolist():
+        own = [i for i, e in zip(hot, ends.tolist(), strict=True) if e == k]
+        for i, spans in zip(own, find_spans([texts[j] for j in own], model), strict=True):
+            found[i] = spans
     return found
 
 

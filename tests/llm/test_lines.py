@@ -76,3 +76,17 @@ def test_boundaries_resist_shifts(spark):
     df = spark.createDataFrame([(1, "\n".join(text)), (2, "\n".join(["new", "lines", "first", *text]))], "doc_id long, text string")
     gone = {r.doc_id: r._n_removed for r in lines.remove_chunks(df, "doc_id", "text").collect()}
     assert gone[1] == 0 and gone[2] > 150
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = "\n".join(f"line {i * 7919 % 1000003}" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert lines.remove_chunks(df, "doc_id", "text").agg({"_n_removed": "sum"}).first()[0] > 0.5 * n
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(300_000) < 10 * took(60_000) + 5

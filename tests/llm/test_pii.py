@@ -109,3 +109,53 @@ def test_whole_operator_with_edge_rows(spark, model):
     assert masked[3] == "Mail <EMAIL> or <PHONE> from <IP>, not 10.0.0.256" and masked[1] is None and masked[4] == rows[5][1]
     assert pii.redact(df, "text", model).columns == df.columns
     assert pii.find(df.limit(0), "doc_id", "text", model).count() == 0
+
+
+def test_addresses_of_any_length(model):
+    for n in [1, 2, 3, 10, 30, 47, 48, 49, 60, 80, 96, 120, 200, 333, 500]:
+        for name in ("éñ", "ñ", "ßaü"):
+            name = (name * n)[:n] if n > 2 else name
+            if name[-1:].isascii():
+                name += "é"  # else the patterns find a part of it
+            text = f"please write to {name}@mail.example.com today"
+            assert ("email", 16, 16 + len(name) + 17) in pii.tagged_spans([text], model)[0], n
+
+
+def test_parts_of_a_long_text_decode_as_the_whole(model, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(t + " quiet words" * rng.choice([1, 80]) for t, _ in pii.generate(60, 5))
+    whole = pii.tagged_spans([text], model)
+    monkeypatch.setattr(pii, "PART", 300)
+    parts = list(pii._parts(pii.encode(text)))
+    assert len(parts) > 5 and all(a % pii.STRIDE == 0 for a, _ in parts)
+    assert pii.tagged_spans([text], model) == whole and len(whole[0]) > 50
+
+
+def test_paths_are_joined_where_they_score_best(model):
+    rng = np.random.default_rng(2)
+    n = 3
+    e = rng.normal(size=(pii.WINDOW, n, pii._TAGS)).astype(np.float32)
+    tags = pii.viterbi(model, e)
+    e = e.transpose(1, 0, 2)
+    logp = e - np.log(np.exp(e).sum(2, keepdims=True))
+    score = np.take_along_axis(logp, tags[:, :, None].astype(int), 2)[:, :, 0]
+    a = model["A"]
+    score[:, 1:] += a[tags[:, :-1], tags[:, 1:]]
+    ks = np.arange(5, 5 + n)
+    ((start, got),) = pii._reconciled(ks, tags, score, a, 10**6)
+    assert start == 5 * pii.STRIDE - (pii.WINDOW - pii.STRIDE) // 2 and len(got) == (n - 1) * pii.STRIDE + pii.WINDOW
+
+    def value(left, right, c):
+        """Score of the joined path over the overlap, going over before its character c."""
+        o = pii.WINDOW - pii.STRIDE
+        path = np.r_[tags[left, pii.STRIDE : pii.STRIDE + c], tags[right, c:o]]
+        lp = np.concatenate([logp[left, pii.STRIDE : pii.STRIDE + c], logp[right, c:o]])
+        before = np.r_[tags[left, pii.STRIDE - 1], path[:-1]]
+        return sum(float(lp[i, path[i]] + a[before[i], path[i]]) for i in range(o))
+
+    for k in range(n - 1):
+        o = pii.WINDOW - pii.STRIDE
+        best = max(range(o), key=lambda c: value(k, k + 1, c))
+        own = got[(k + 1) * pii.STRIDE : (k + 1) * pii.STRIDE + o]
+        path = np.r_[tags[k, pii.STRIDE : pii.STRIDE + best], tags[k + 1, best:o]]
+        assert (own == path).all()
