@@ -68,23 +68,44 @@ def release() -> None:
         trim(0)
 
 
-def gapless(df: DataFrame, group: list[str], order: list[str], spread: Column, name: str, parts: int = 256) -> DataFrame:
-    """Add `name`: 0, 1, 2, ... without gaps inside each group, in the order (spread modulo parts,
-    then `order`). Each group is numbered in `parts` independent pieces whose offsets come from a
-    count per piece, so a group of any size never meets in one task. Group columns hold no nulls; names that begin with _lamina are taken."""
-    piece = df.withColumn("_lamina_piece", F.pmod(spread, F.lit(parts)).cast("int"))
+SPREAD = 1 << 28
+
+
+def spread(key: Column) -> Column:
+    """A long in [0, SPREAD) from the key's text form, the same in any SQL engine with md5; 0 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def gapless(df: DataFrame, group: list[str], order: list[str], by: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Add `name`: 0, 1, 2, ... without gaps inside each group, in the order (by, then `order`). by: a long in [0, SPREAD).
+    Each group is numbered in `parts` pieces, ranges of `by`, whose offsets come from a count per piece, so a group of any size never
+    meets in one task; the order is the same for any number of pieces (256 at least, more with spark.sql.shuffle.partitions). Group
+    columns hold no nulls; names that begin with _lamina are taken."""
+    parts = parts or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    piece = df.withColumn("_lamina_by", by).withColumn("_lamina_piece", F.floor(F.col("_lamina_by") * parts / SPREAD).cast("int"))
     counts = piece.groupBy(*group, "_lamina_piece").agg(F.count(F.lit(1)).alias("_lamina_n"))
     before = Window.partitionBy(*group).orderBy("_lamina_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_lamina_piece", F.coalesce(F.sum("_lamina_n").over(before), F.lit(0)).alias("_lamina_offset"))
-    inside = Window.partitionBy(*group, "_lamina_piece").orderBy(*order)
+    inside = Window.partitionBy(*group, "_lamina_piece").orderBy("_lamina_by", *order)
     return (
         piece.withColumn("_lamina_at", F.row_number().over(inside))
         .join(offsets, [*group, "_lamina_piece"])
         .withColumn(name, (F.col("_lamina_offset") + F.col("_lamina_at") - 1).cast("long"))
-        .drop("_lamina_piece", "_lamina_at", "_lamina_offset")
+        .drop("_lamina_by", "_lamina_piece", "_lamina_at", "_lamina_offset")
     )
 
 
+def salted_join(rows: DataFrame, named: DataFrame, by: str, copies: str, salt: Column) -> DataFrame:
+    """rows (left, inner) joined with named (one row for each value of the long `by`, with the number of rows that hold it in `copies`).
+    A value that holds over a thousandth of the rows is hot: under 1,000 can be, so they are broadcast, and each is dealt to several tasks."""
+    most = max(1000, (named.agg(F.sum(copies)).first()[0] or 0) // 1000)
+    salts = F.when(F.col(copies) > most, F.ceil(F.col(copies) / most)).otherwise(1).cast("int")
+    hot = named.where(F.col(copies) > most).select(by, salts.alias("_lamina_salts"))
+    left = rows.join(F.broadcast(hot), by, "left").withColumn("_lamina_salt", F.coalesce(F.pmod(salt, F.col("_lamina_salts")), F.lit(0)).cast("int")).drop("_lamina_salts")
+    right = named.withColumn("_lamina_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(copies)
+    return left.join(right, [by, "_lamina_salt"]).drop("_lamina_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

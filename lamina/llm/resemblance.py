@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, kept, release, small
+from .common import components, cut, discard, kept, release, salted_join, small
 from .simhash import planes, within
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -232,7 +232,7 @@ def verified(met: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:
     """(key, component): component is the smallest key among all rows reachable over pairs of similarity 0.8 or more."""
     rows = kept(sketches(df, key, text))
-    nodes = rows.groupBy("node").agg(F.min(key).alias("least"), F.min("row").alias("row"))
+    nodes = rows.groupBy("node").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"))
     # Copies of a node agree in these columns.
     marks = cut(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     met = cut(active(marks, radius))
@@ -242,9 +242,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, radius: int = RADIUS) ->
     rest = met.where("not first").select("g", "node").join(first, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
     open_ = rest.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
     found = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(verified(rest.join(open_, "g"), texts)))
-    rooted = nodes.join(found, nodes.node == found.node, "left").select(nodes.node, "least", F.coalesce("root", nodes.node).alias("root"))
+    rooted = nodes.join(found, nodes.node == found.node, "left").select(nodes.node, "least", "copies", F.coalesce("root", nodes.node).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    out = cut(rows.select(key, "node").join(rooted.select("node", "root").join(named, "root").select("node", "component"), "node").select(key, "component"))
+    named = cut(rooted.join(named, "root").select("node", "component", "copies"))
+    out = cut(salted_join(rows.select(key, "node", "row"), named, "node", "copies", F.col("row")).select(key, "component"))
     rows.unpersist()
     for done in (marks, met, needed, texts):
         discard(done)

@@ -5,8 +5,8 @@ Each shard j draws u_j in (0, 1) from XXH64 of (key, j); a row goes to the shard
 decide alone, and a further shard takes rows only into itself.
 
 Defined results: a null key is a key like any other (all its rows share a shard); rows that share a
-key share a shard; a null text counts 0 bytes; an empty table gives no rows; input columns other than
-those named are neither read nor returned.
+key share a shard; a null text counts 0 bytes; an empty table gives no rows; all input columns stay, but
+shard, slot and grown_shard take the place of input columns of those names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, gapless
+from .common import SPREAD, documents, gapless
 
 SHARDS = 40
 
@@ -44,13 +44,13 @@ def shard(df: DataFrame, key: str, weights: list[float], shard_col: str = "shard
 def sharded_slots(df: DataFrame, key: str, weights: list[float], grown: list[float]) -> DataFrame:
     """df with shard, grown_shard (under the weights `grown`) and slot, gapless from 0 in each shard."""
     placed = shard(df, key, weights).withColumn("grown_shard", rendezvous(F.col(key), grown))
-    return gapless(placed, ["shard"], [key, *[c for c in df.columns if c != key]], F.coalesce(F.xxhash64(F.col(key)), F.lit(0)), "slot")
+    return gapless(placed, ["shard"], [key, *[c for c in df.columns if c != key]], F.pmod(F.xxhash64(F.col(key)), F.lit(SPREAD)), "slot")
 
 
 def write_shards(df: DataFrame, path: str, key: str, weights: list[float], files: int = 1) -> None:
     """Write df under path/shard=j/. Each shard is dealt to `files` tasks by the key's hash, so the size of a file is set by `files`."""
-    placed = shard(df, key, weights).withColumn("_file", F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
-    placed.repartition(len(weights) * files, "shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    placed = shard(df, key, weights).withColumn("_lamina_file", F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
+    placed.repartition(len(weights) * files, "shard", "_lamina_file").drop("_lamina_file").write.partitionBy("shard").parquet(path)
 
 
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ Fingerprints are made per text (Arrow batches). Distinct fingerprints then meet
 enough of their equal bands (two of four 16-bit bands for a radius of 2), so no pair within the radius is missed. Inside
 a bucket, bit planes are stored vertically: lane i of plane b is bit b of fingerprint i. A query adds the
 64 difference planes into carry-save counters, which keeps many distances at once in bitwise words, and
-leaves a block as soon as every lane exceeds the radius. Buckets beyond BLOCK fingerprints are split into
+abandons a block (a word of 64 lanes) as soon as every lane exceeds the radius. Buckets beyond BLOCK fingerprints are split into
 blocks that meet two by two in tasks of their own. Only a star of links per block leaves a task.
 
 Defined results: a null text has no words; a text without words has fingerprint zero, which links like
 any other; copies share a fingerprint and so a group; a null doc_id stays a row and is never the smallest
-of a group unless alone; an empty table gives no rows; other input columns are ignored.
+of a group unless alone; an empty table gives no rows; other input columns are ignored; a key column named fp or component
+comes back as _lamina_key.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents
+from .common import components, cut, documents, release, salted_join
 
 BLOCK = 8192
 RADIUS = 2
@@ -49,16 +50,23 @@ def fingerprint(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def _output(key: str) -> str:
+    return "_lamina_key" if key in ("fp", "component") else key
+
+
 def fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, fp): the fingerprint's 64 bits as a long."""
+    """(_lamina_key, fp): the fingerprint's 64 bits as a long."""
     kind = dict(df.select(key).dtypes)[key]
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint((t or "").encode(), words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], [key, "fp"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = [fingerprint((t.as_py() or "").encode(), words) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["_lamina_key", "fp"])
+        release()
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return df.select(key, text).mapInArrow(run, f"_lamina_key {kind}, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -70,16 +78,19 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within(base: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """Bits (queries x words of lanes): lane i is set if fingerprint i of `base` (planes) is within radius of the query."""
+def within(base: np.ndarray, queries: np.ndarray, radius: int, work: list[int] | None = None) -> np.ndarray:
+    """Bits (queries x words of lanes): lane i is set if fingerprint i of `base` (planes) is within radius of the query. After every eight
+    planes the blocks (a query and a word of 64 lanes) of which all lanes exceed the radius are abandoned. work: gets the number of blocks that read each plane."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    shape = (len(queries), base.shape[1])
-    count = [np.zeros(shape, np.uint64) for _ in range(max(1, (radius + 1).bit_length()))]
-    over = np.zeros(shape, np.uint64)
+    q, w = len(queries), base.shape[1]
     flip = np.where((queries[:, None] >> np.arange(63, -1, -1, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0))
+    live = None  # numbers (query * words + word) of the blocks still open; None: all
+    count = [np.zeros(q * w, np.uint64) for _ in range(max(1, (radius + 1).bit_length()))]
+    over = np.zeros(q * w, np.uint64)
+    out = np.zeros(q * w, np.uint64)
 
     def beyond() -> np.ndarray:
-        more, same = over.copy(), np.full(shape, full)
+        more, same = over.copy(), np.full(len(over), full)
         for j in reversed(range(len(count))):
             if radius >> j & 1:
                 same &= count[j]
@@ -89,34 +100,52 @@ def within(base: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
         return more
 
     for b in range(64):
-        carry = base[b][None, :] ^ flip[:, b, None]
+        carry = (base[b][None, :] ^ flip[:, b, None]).ravel() if live is None else base[b][word] ^ flip[query, b]
+        if work is not None:
+            work.append(len(carry))
         for c in count:
             c_and = c & carry
             c ^= carry
             carry = c_and
         over |= carry
-        if b % 8 == 7 and (out := beyond()).min() == full:
-            return np.zeros(shape, np.uint64)
-    return ~out
+        if b % 8 == 7:
+            near = ~beyond()
+            stay = near != 0
+            if b == 63:
+                out[live if live is not None else slice(None)] = near
+            elif not stay.any():
+                break
+            elif not stay.all():
+                live = np.flatnonzero(stay) if live is None else live[stay]
+                query, word = np.divmod(live, w)
+                count, over = [c[stay] for c in count], over[stay]
+    return out.reshape(q, w)
 
 
 def stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, centre) links that join each group of the distinct fingerprints linked within radius."""
     nodes, centres = [], []
-    open_ = fps
-    frontier = fps[:0]
-    centre = None
-    while len(open_):
+    base, open_ = planes(fps), np.ones(len(fps), bool)
+    left, frontier, centre = len(fps), fps[:0], None
+    while left:
         if not len(frontier):
-            centre, frontier, open_ = open_[0], open_[:1], open_[1:]
+            at = int(np.argmax(open_))
+            centre, frontier = fps[at], fps[at : at + 1]
+            open_[at] = False
+            left -= 1
             continue
         step, frontier = frontier[:32], frontier[32:]
-        hit = np.bitwise_or.reduce(within(planes(open_), step, radius), axis=0)
-        mask = np.unpackbits(hit.view(np.uint8), bitorder="little")[: len(open_)].astype(bool)
-        near, open_ = open_[mask], open_[~mask]
-        nodes.append(near)
-        centres.append(np.full(len(near), centre, np.uint64))
-        frontier = np.concatenate([frontier, near])
+        hit = np.bitwise_or.reduce(within(base, step, radius), axis=0)
+        near = np.unpackbits(hit.view(np.uint8), bitorder="little")[: len(fps)].astype(bool) & open_
+        found = fps[near]
+        open_ &= ~near
+        left -= len(found)
+        nodes.append(found)
+        centres.append(np.full(len(found), centre, np.uint64))
+        frontier = np.concatenate([frontier, found])
+        if 2 * left < len(fps):  # lanes that are done leave
+            fps, base = fps[open_], planes(fps[open_])
+            open_ = np.ones(len(fps), bool)
     return (np.concatenate(nodes), np.concatenate(centres)) if nodes else (fps[:0], fps[:0])
 
 
@@ -176,16 +205,19 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """(key, fp, component): component is the smallest key among all rows reachable over links within radius."""
     prints = cut(fingerprints(df, key, text, words))
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    own = F.col("_lamina_key")
+    distinct = cut(prints.groupBy("fp").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("copies")))
     found = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component"), "fp").select(key, "fp", "component")
+    out = salted_join(prints, cut(rooted.join(named, "root").select("fp", "component", "copies")), "fp", "copies", F.xxhash64(own))
+    return out.select(own.alias(_output(key)), "fp", "component")
 
 
 def deduplicate(df: DataFrame, key: str, text: str, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of df whose key is the smallest of their group; rows that share a key stay or go together."""
-    kept = near_duplicates(df, key, text, words, radius).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_lamina_kept")).distinct()
+    found = near_duplicates(df, key, text, words, radius)
+    kept = found.where(F.col(_output(key)).eqNullSafe(F.col("component"))).select(F.col(_output(key)).alias("_lamina_kept")).distinct()
     return df.join(kept, F.col(key).eqNullSafe(F.col("_lamina_kept")), "left_semi")
 
 

@@ -46,3 +46,12 @@ def test_query_columns(spark, tmp_path):
     assert sharding.op10_rendezvous_shards(spark, str(tmp_path)).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert sharding.op10_rendezvous_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_null_keys_and_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(None, "x", i) for i in range(2000)] + [(1, "y", 0)], "doc_id long, _file string, slot int")
+    out = sharding.sharded_slots(df, "doc_id", [1.0] * 5, [1.0] * 6).collect()
+    nulls = [r.slot for r in out if r.doc_id is None]
+    assert len({r.shard for r in out if r.doc_id is None}) == 1 and len(set(nulls)) == 2000 and max(nulls) <= 2000
+    sharding.write_shards(df, str(tmp_path / "out"), "doc_id", [1.0] * 5, files=2)
+    assert {r._file for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"x", "y"}

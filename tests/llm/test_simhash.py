@@ -101,3 +101,25 @@ def test_whole_operator_with_edge_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, f, c in want if d == c)
     empty = spark.createDataFrame([], schema)
     assert simhash.near_duplicates(empty, "doc_id", "text").count() == 0
+
+
+def test_far_blocks_are_abandoned():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 64, 64 * 200, np.uint64)
+    queries = np.concatenate([fps[:1], rng.integers(0, 1 << 64, 7, np.uint64)])
+    work: list[int] = []
+    got = np.unpackbits(simhash.within(simhash.planes(fps), queries, 2, work).view(np.uint8), axis=1, bitorder="little")
+    assert got.sum() == 1 and got[0, 0]
+    # All 64 planes are read for the one near block alone; most others go after 16.
+    assert work[0] == 8 * 200 and work[-1] == 1 and sum(work) < 0.4 * 64 * 8 * 200
+    assert work[16] < 0.3 * work[0]
+
+
+def test_hot_fingerprint_and_clashing_key(spark):
+    rows = [(i, "same text here") for i in range(3000)] + [(5000 + i, f"other text number {i} of many") for i in range(50)]
+    df = spark.createDataFrame(rows, "fp long, text string")
+    got = simhash.near_duplicates(df, "fp", "text").collect()
+    want = brute_groups([brute_fp(t) for _, t in rows[2999:]])
+    assert sum(r.component == 0 for r in got) >= 3000 and len(got) == len(rows)
+    assert len({r.component for r in got}) == len(set(want))
+    assert sorted(r.fp for r in simhash.deduplicate(df, "fp", "text").collect())[0] == 0
