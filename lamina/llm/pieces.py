@@ -4,13 +4,15 @@ Texts are cut into words at places that no piece crosses (before a run of marks
 and around line feeds). Each Arrow batch sends its distinct words once, dealt by hash; over the distinct
 words of all texts the bounded-length substrings are exploded, equi-joined to the piece table, grouped
 back by word, and folded by a Spark higher-order `aggregate` over bit masks of cuts: a unigram model by Viterbi (the best
-sum of scores), a BPE model by its merges (again and again the best-scored edge over two neighbours, the
-leftmost first), since the best sum of scores is not what a BPE model encodes. The cut masks then go back to the batches
+sum of scores), a BPE model by its merges, since the best sum of scores is not what a BPE model encodes. The cut masks then go back to the batches
 that sent the words, and each text's pieces become ids there, with byte fallback for unknown characters.
 
+A BPE fold takes the edges of a word once, best score first: an edge whose ends are both cuts loses its inner cuts. That equals merging the
+best pair again and again wherever every piece, cut by better pieces alone, ends up in two parts (`Model.odd` lists those that do
+not, such as runs of marks with equal scores; words that hold one are folded pair by pair).
+
 The piece table is bounded by the model and broadcast. Words of more than LONGEST characters (a mask is
-one long), and runs of closing punctuation that no piece joins to their word, are cut in
-Python where they stand: by a heap of merges in O(n log n) for BPE, by Viterbi for unigram models.
+one long) are cut in Python where they stand: by a heap of merges in O(n log n) for BPE, by Viterbi for unigram models.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give equal ids;
 an empty table gives no rows; other input columns are ignored; a mark in the text itself decodes as a space, as the model cannot tell
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 61
 BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BUCKET_BYTES, TASKS = 4 << 20, 1 << 15
 _MARK = MARK.encode()
 
 
@@ -99,8 +99,16 @@ class Model:
         self.stored = "<u2" if n <= 1 << 16 else "<u4"
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses words")
-        pairs = [p[i : i + 2] for p in self.ids for i in range(len(p) - 1)] if self.bpe else [a + b for a in set("".join(self.ids)) for b in _MARKS]
-        self.pairs = frozenset(pairs)
+
+    @functools.cached_property
+    def odd(self) -> frozenset[str]:
+        """Pieces that better ones alone do not cut into two parts."""
+
+        def parts(p: str) -> int:
+            inner = {p[i:j] for i in range(len(p)) for j in range(i + 2, len(p) + 1)}
+            return len(merge_long(p, {q: self.scores[q] for q in inner if q in self.scores and self.scores[q] > self.scores[p]}))
+
+        return frozenset(p for p in self.scores if len(p) > 1 and parts(p) != 2) if self.bpe else frozenset()
 
     def normal(self, text: str) -> str:
         text = text.replace(" ", MARK)
@@ -125,16 +133,6 @@ def _ids_of(model_ids: dict, byte_ids: dict, unknown: int, pieces: list[str]) ->
     return out
 
 
-
-
-def halves(word: str, pairs: frozenset[str]) -> tuple[str, str]:
-    """The word without its closing punctuation, and that, where no piece holds the two characters at the cut; else the word and ''."""
-    body = word.rstrip(_MARKS)
-    if body and len(body) < len(word) and word[len(body) - 1 : len(body) + 1] not in pairs:
-        return body, word[len(body) :]
-    return word, ""
-
-
 def merge_long(word: str, scores: dict[str, float]) -> list[str]:
     """BPE pieces of one word by a heap of merges."""
     piece, left, right = list(word), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
@@ -190,30 +188,38 @@ def cut_at(word: str, mask: int) -> list[str]:
 # ---- the lattice -------------------------------------------------------------------------------------
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int, shortest: int) -> DataFrame:
-    """(word, edges): of each word in `words` the substrings that are pieces (piece, score), as array<struct<score, neg, ends, span>>:
-    minus the start, the bits of both ends, and the bits from start to end."""
+def edges(words: DataFrame, pieces: DataFrame, longest: int, shortest: int, key: str | None = None) -> DataFrame:
+    """(key, word, edges, odd): of each word in `words` the substrings that are pieces (piece, score, odd), as array<struct<score, neg, ends, span>>:
+    minus the start, the bits of both ends, and the bits from start to end; odd: one of them is. key: a column that each word has one value
+    of and that words are partitioned by already, so that no exchange is needed."""
+    own = [key] if key else []
     size = F.char_length("word")
-    starts = words.where(size >= shortest).select("word", F.explode(F.sequence(F.lit(0), size - shortest)).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
-    rows = spans.select("word", "s", "k", F.substr("word", F.col("s") + 1, F.col("k")).alias("piece")).join(F.broadcast(pieces), "piece")
+    starts = words.where(size >= shortest).select(*own, "word", F.explode(F.sequence(F.lit(0), size - shortest)).alias("s"))
+    spans = starts.select(*own, "word", "s", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), size - F.col("s")))).alias("k"))
+    rows = spans.select(*own, "word", "s", "k", F.substr("word", F.col("s") + 1, F.col("k")).alias("piece")).join(F.broadcast(pieces), "piece")
     bit = lambda i: F.expr(f"shiftleft(1L, {i})")
     edge = F.struct("score", (-F.col("s")).alias("neg"), bit("s").bitwiseOR(bit("s + k")).alias("ends"), (bit("s + k + 1") - bit("s")).alias("span"))
+    odd = F.max("odd") if "odd" in pieces.columns else F.lit(False)
     # The hash in front makes the sort by word a sort by numbers.
-    return rows.groupBy(F.xxhash64("word"), "word").agg(F.collect_list(edge).alias("edges")).select("word", "edges")
+    return rows.groupBy(*own, F.xxhash64("word"), "word").agg(F.collect_list(edge).alias("edges"), odd.alias("odd")).select(*own, "word", "edges", "odd")
 
 
-def merge_fold() -> Column:
-    """Mask of cuts by BPE merges: from all cuts, the best edge that covers exactly two pieces loses its inner cut, until none is left."""
+def pair_fold() -> Column:
+    """Mask of cuts by BPE merges, pair by pair: from all cuts, the best edge that covers exactly two pieces loses its inner cut, until none is left."""
     # Edges sort by score, then from right to left, so the last one that applies is the best.
     return F.expr(
-        """aggregate(sequence(1, greatest(char_length(word) - 1, 1)), named_struct('m', shiftleft(1L, char_length(word) + 1) - 1L, 'es', array_sort(edges)),
+        """aggregate(sequence(1, greatest(char_length(word) - 1, 1)), named_struct('m', shiftleft(1L, char_length(word) + 1) - 1L, 'es', sort_array(edges)),
           (s, i) -> transform(array(filter(s.es, x -> (s.m & x.ends) = x.ends)), es ->
             named_struct('m', s.m - coalesce(get(transform(slice(filter(es, x -> bit_count(s.m & x.span) = 3), -1, 1), x -> (s.m & x.span) - x.ends), 0), 0L), 'es', es))[0],
           s -> s.m)"""
     )
 
 
+def merge_fold() -> Column:
+    """Mask of cuts by BPE merges in one pass over the edges, best score first and of equal ones from left to right. Exact for words without an odd piece."""
+    return F.expr("aggregate(sort_array(edges, false), shiftleft(1L, char_length(word) + 1) - 1L, (m, x) -> if((m & x.ends) = x.ends, (m & ~x.span) | x.ends, m))")
+
+
 def viterbi_fold(unknown: float) -> Column:
     """Mask of cuts with the best sum of scores; a character under no one-character edge costs `unknown`. Ties take the longer last piece."""
     forward = f"""aggregate(sequence(1, char_length(word)), array(struct(0D AS sum, 0 AS back)), (st, e) -> concat(st, array(
@@ -226,20 +232,20 @@ def viterbi_fold(unknown: float) -> Column:
     return F.expr(f"transform(array({forward}), path -> {back})[0]")
 
 
-def word_masks(words: DataFrame, model: Model) -> DataFrame:
-    """(word, mask) of distinct words up to LONGEST characters; words without an edge are left out, as each character stands alone. Keeps the partitioning by word."""
+def word_masks(words: DataFrame, model: Model, key: str | None = None) -> DataFrame:
+    """(key, word, mask) of distinct words up to LONGEST characters; words without an edge are left out, as each character stands alone. Keeps the partitioning by key."""
     spark = words.sparkSession
     if len(model.ids) > 1 << 20:
         raise ValueError("the piece table is too large to broadcast")
-    table = spark.createDataFrame(pd.DataFrame({"piece": list(model.scores), "score": list(model.scores.values())}), "piece string, score float")
-    if model.bpe:
-        return edges(words, table, model.longest, 2).select("word", merge_fold().alias("mask"))
-    return edges(words, table, model.longest, 1).select("word", viterbi_fold(min(model.scores.values()) - 10).alias("mask"))
+    rows = [(p, s, p in model.odd) for p, s in model.scores.items()]
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "score", "odd"]), "piece string, score float, odd boolean")
+    fold = F.when(F.col("odd"), pair_fold()).otherwise(merge_fold()) if model.bpe else viterbi_fold(min(model.scores.values()) - 10)
+    return edges(words, table, model.longest, 2 if model.bpe else 1, key).select(*([key] if key else []), "word", fold.alias("mask"))
 
 
 # ---- words of batches -----------------------------------------------------------------------------------
 
-_SENT = "key long, kind int, batch long, bucket int, n int, pack binary, places binary, ids array<{0}>, sizes array<int>, checks array<long>"
+_SENT = "key long, kind int, batch long, bucket long, n int, pack binary, places binary, ids array<{0}>, sizes array<int>, checks array<long>"
 WORDS, TEXTS = 0, 1
 
 
@@ -253,21 +259,24 @@ def _loosen(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _pack_words(words: list[str]) -> bytes:
-    raw = [w.encode() for w in words]
-    sizes = np.array([len(r) for r in raw], "<u4").tobytes()
-    return zstandard.compress(sizes + b"".join(raw), 6)
+def _pack_words(words: list[bytes]) -> bytes:
+    sizes = np.array([len(r) for r in words], "<u4").tobytes()
+    return zstandard.compress(sizes + b"".join(words), 6)
 
 
-def _unpack_words(pack: bytes, n: int) -> list[str]:
+def _unpack_words(pack: bytes, n: int) -> list[bytes]:
     raw = zstandard.decompress(pack)
     ends = 4 * n + np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64))
     starts = np.r_[4 * n, ends[:-1]] if n else ends
-    return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _name(word: bytes) -> str:
+    return word.decode().replace(" ", MARK)
 
 
-def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, number of the distinct word, an occurrence of each distinct word) of texts with spaces as marks. A word
+def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, number of the distinct word, an occurrence of each distinct word, its hash) of texts with spaces as marks. A word
     starts where a text does, at the first space or line feed of a run, and after line feeds."""
     pieces = []
     row, rows = 0, len(offsets) - 1
@@ -284,13 +293,12 @@ def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         row = end
     if not pieces:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none.astype(np.uint64)
     starts, ends = (np.concatenate([p[k] for p in pieces]) for k in (0, 1))
     counts = [len(p[0]) for p in pieces]
     hashes = np.concatenate([p[2] for p in pieces])
     del pieces
     word = pd.factorize(hashes)[0].astype(np.int32)
-    del hashes
     reps = np.empty(int(word.max()) + 1, np.int32)
     reps[word[::-1]] = np.arange(len(word) - 1, -1, -1, dtype=np.int32)
     size, lead = ends - starts, reps[word]
@@ -304,7 +312,7 @@ def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         text, known = data.tobytes(), {}
         word = np.fromiter((known.setdefault(text[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
         _, reps = np.unique(word, return_index=True)
-    return starts, ends, word, reps
+    return starts, ends, word, reps, hashes[reps]
 
 
 def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> DataFrame:
@@ -312,7 +320,7 @@ def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> Da
     words, frequent ones small (key: batch), with places: where among the batch's words, by bucket and then sorted, each number
     stands; and for each text its row's key, its number of words and its hash."""
     kind = dict(docs.select(key).dtypes)[key]
-    prefix, pairs = model.prefix, model.pairs
+    prefix = model.prefix
 
     def run(batches):
         for batch in batches:
@@ -330,13 +338,13 @@ def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> Da
                 offsets = np.cumsum([0, *map(len, raws)])
                 del raws
                 number = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(offsets.tobytes() + data))))
-                starts, ends, word, reps = _distinct_words(np.frombuffer(data, np.uint8), offsets)
+                starts, ends, word, reps, hashes = _distinct_words(np.frombuffer(data, np.uint8), offsets)
                 sizes = np.diff(np.searchsorted(starts, offsets))
-                names = [data[a:b].decode().replace(" ", MARK) for a, b in zip(starts[reps].tolist(), ends[reps].tolist(), strict=True)]
+                names = [data[a:b] for a, b in zip(starts[reps].tolist(), ends[reps].tolist(), strict=True)]
                 # Frequent words get small numbers.
                 rank = np.empty(len(names), np.int32)
                 rank[np.argsort(-np.bincount(word, minlength=len(names)), kind="stable")] = np.arange(len(names))
-                bucket = np.fromiter((zlib.crc32(halves(w, pairs)[0].encode()) % buckets for w in names), np.int64, len(names))
+                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, int)
                 rows, places = [], np.empty(len(names), np.int64)
@@ -346,10 +354,10 @@ def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> Da
                     rows.append((int(bucket[own[0]]), WORDS, number, int(bucket[own[0]]), len(own), _pack_words([names[i] for i in own]), None, None, None, None))
                 ids = pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [row - first], pa.int32()), batch.column(0).slice(first, row - first))
                 rows.append((number, TEXTS, number, -1, row - first, _squeeze(rank[word]), _squeeze(places), None, sizes, np.array(checks, np.uint64).view(np.int64)))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), None, pa.list_(pa.int32()), pa.list_(pa.int64())]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), None, pa.list_(pa.int32()), pa.list_(pa.int64())]
                 columns = [ids if t is None else pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SENT.split(", ")])
-                del data, starts, ends, word, reps, sizes, names, rank, bucket, order, rows, places, columns, ids
+                del data, starts, ends, word, reps, hashes, sizes, names, rank, bucket, order, rows, places, columns, ids
                 release()
 
     return docs.select(key, text).mapInArrow(run, _SENT.format(kind))
@@ -361,34 +369,35 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     kind = dict(docs.select(key).dtypes)[key]
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)), 100_000)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    # Groups are bounded by BUCKET_BYTES of text each; a task takes several where there are more groups than Spark can have tasks.
+    tasks = min(buckets, TASKS)
     # One exchange feeds the three steps below: each reads all its columns and sorts out the kinds itself.
-    sent = send(docs.select(F.col(key).alias("_id"), F.col(text).alias("text")), "_id", "text", model, buckets).repartition(buckets, "key")
-    pairs = model.pairs
+    sent = send(docs.select(F.col(key).alias("_id"), F.col(text).alias("text")), "_id", "text", model, buckets).repartition(tasks, "key")
 
     def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
         release()
-        found: set[str] = set()
+        found: set[bytes] = set()
         for pack, n, kind in zip(pdf["pack"], pdf["n"], pdf["kind"], strict=True):
             if kind == WORDS:
-                found.update(halves(w, pairs)[0] for w in _unpack_words(pack, n))
-        return pd.DataFrame({"word": [w for w in found if 1 < len(w) <= LONGEST]}, dtype=object)
+                found.update(_unpack_words(pack, n))
+        words = [w for w in map(_name, found) if 1 < len(w) <= LONGEST]
+        return pd.DataFrame({"key": np.full(len(words), pdf["key"].iloc[0], np.int64), "word": pd.Series(words, dtype=object)})
 
-    vocabulary = sent.groupBy("key").applyInPandas(distinct, "word string").repartition(buckets, "word")
-    bucket = (F.crc32(F.col("word").cast("binary")) % buckets).cast("long")
-    masks = word_masks(vocabulary, model).select(bucket.alias("key"), "word", "mask").repartition(buckets, "key")
+    # A word's bucket is its key, so one exchange by key serves the lattice and its return to the batches.
+    vocabulary = sent.groupBy("key").applyInPandas(distinct, "key long, word string").repartition(tasks, "key")
+    masks = word_masks(vocabulary, model, "key")
     longest, lowest = model.longest, min(model.scores.values()) - 10
     ids, byte_ids, unknown, scores, bpe, stored = model.ids, model.bytes, model.unknown, model.scores, model.bpe, model.stored
 
     def resolve(sent: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
         release()
         mask = dict(zip(cuts["word"].tolist(), cuts["mask"].tolist(), strict=True)) if len(cuts) else {}
-        memo: dict[str, list[int]] = {}
-        out = []
         sent = sent[sent["kind"] == WORDS]
-
-        def long_pieces(w: str) -> list[str]:
-            return merge_long(w, scores) if bpe else viterbi_long(w, scores, longest, lowest)
+        number: dict[bytes, int] = {}
+        packs = []
+        for pack, n in zip(sent["pack"], sent["n"], strict=True):
+            packs.append(np.fromiter((number.setdefault(w, len(number)) for w in _unpack_words(pack, n)), np.int64, n))
 
         def pieces_of(w: str) -> list[str]:
             m = mask.get(w)
@@ -396,24 +405,24 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
                 return cut_at(w, m)
             if len(w) <= LONGEST:
                 return list(w)
-            return long_pieces(w)
-
-        def whole(w: str) -> list[str]:
-            body, tail = halves(w, pairs)
-            return pieces_of(body) + (long_pieces(tail) if tail else [])
-
-        for pack, n, batch, bucket in zip(sent["pack"], sent["n"], sent["batch"], sent["bucket"], strict=True):
-            flat, sizes = [], []
-            for w in _unpack_words(pack, n):
-                got = memo.get(w)
-                if got is None:
-                    got = memo[w] = _ids_of(ids, byte_ids, unknown, whole(w))
-                flat += got
-                sizes.append(len(got))
-            out.append((batch, bucket, _squeeze(np.array(sizes, np.uint32)), _squeeze(np.array(flat, np.uint32))))
+            return merge_long(w, scores) if bpe else viterbi_long(w, scores, longest, lowest)
+
+        flat, size = [], []
+        for w in number:
+            got = _ids_of(ids, byte_ids, unknown, pieces_of(_name(w)))
+            flat += got
+            size.append(len(got))
+        flat, size = np.array(flat, np.uint32), np.array(size, np.int64)
+        start = np.cumsum(size) - size
+        out = []
+        for words, batch, bucket in zip(packs, sent["batch"], sent["bucket"], strict=True):
+            each = size[words]
+            ends = np.cumsum(each)
+            values = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[words] - (ends - each), each)]
+            out.append((batch, bucket, _squeeze(each.astype(np.uint32)), _squeeze(values)))
         return pd.DataFrame(out, columns=["key", "bucket", "counts", "values"])
 
-    back = sent.groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, bucket int, counts binary, values binary").repartition(buckets, "key")
+    back = sent.groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, bucket long, counts binary, values binary").repartition(tasks, "key")
 
     def assemble(own: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
         release()

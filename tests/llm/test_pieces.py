@@ -64,3 +64,27 @@ def test_viterbi_fold_equals_brute_force(spark):
     for w, parts in got.items():
         assert "".join(parts) == w and abs(cost(parts) - best(w)[0]) < 1e-4
     assert len(got) > 40
+
+
+def test_one_pass_equals_pair_by_pair(spark):
+    m = pieces.load()
+    rng = random.Random(4)
+    names = list(m.scores)
+    words = {pieces.MARK + "".join(rng.choice(names) for _ in range(rng.randrange(1, 6)))[:60] for _ in range(3000)} | {pieces.MARK * k + "x" for k in range(2, 50)}
+    assert 0 < len(m.odd) < 100
+    table = spark.createDataFrame([(p, s, p in m.odd) for p, s in m.scores.items()], "piece string, score float, odd boolean")
+    lattice = pieces.edges(spark.createDataFrame([(w,) for w in words], "word string"), table, m.longest, 2)
+    rows = lattice.select("word", "odd", pieces.merge_fold().alias("one"), pieces.pair_fold().alias("pairs")).collect()
+    assert len(rows) > 2500 and any(r.odd for r in rows)
+    for r in rows:
+        assert r.odd or r.one == r.pairs, r.word
+        assert pieces.cut_at(r.word, r.pairs) == pieces.merge_long(r.word, m.scores)
+
+
+def test_clashing_id_column(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    df = spark.createDataFrame([(1, "some text, here", 5)], "_id long, text string, batch int")
+    (r,) = pieces.encode(df, "_id", "text").collect()
+    assert r._id == 1 and np.frombuffer(r.ids, "<u2").tolist() == sp.encode("some text, here")
