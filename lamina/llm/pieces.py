@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 61
 BATCH_BYTES = 8 << 20
-BUCKET_BYTES, TASKS = 4 << 20, 1 << 15
+BUCKET_BYTES, TASKS, GROUPS_PER_TASK = 4 << 20, 1 << 15, 8
 _MARK = MARK.encode()
 
 
@@ -251,7 +251,7 @@ WORDS, TEXTS = 0, 1
 
 def _squeeze(x: np.ndarray) -> bytes:
     """uint32 values, byte planes apart."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def _loosen(data: bytes) -> np.ndarray:
@@ -261,7 +261,7 @@ def _loosen(data: bytes) -> np.ndarray:
 
 def _pack_words(words: list[bytes]) -> bytes:
     sizes = np.array([len(r) for r in words], "<u4").tobytes()
-    return zstandard.compress(sizes + b"".join(words), 6)
+    return zstandard.compress(sizes + b"".join(words), 3)
 
 
 def _unpack_words(pack: bytes, n: int) -> list[bytes]:
@@ -389,6 +389,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     masks = word_masks(vocabulary, model, "key")
     longest, lowest = model.longest, min(model.scores.values()) - 10
     ids, byte_ids, unknown, scores, bpe, stored = model.ids, model.bytes, model.unknown, model.scores, model.bpe, model.stored
+    width = np.dtype(stored).itemsize
 
     def resolve(sent: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
         release()
@@ -432,39 +433,60 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
         start = np.cumsum(size) - size
         keys, out, counts, checks = [], [], [], []
         for pack, places, ids, sizes, hashes in zip(own["pack"], own["places"], own["ids"], own["sizes"], own["checks"], strict=True):
-            place = _loosen(places)
-            words = place[_loosen(pack)]
-            at = 0
-            for k, n, h in zip(ids, sizes, hashes, strict=True):
-                word = words[at : at + n]
-                at += n
-                each = size[word]
-                ends = np.cumsum(each)
-                total = int(ends[-1]) if n else 0
-                out.append(values[np.arange(total) + np.repeat(start[word] - (ends - each), each)].tobytes())
-                keys.append(k)
-                counts.append(total)
-                checks.append(h)
-        return pd.DataFrame({"_id": pd.Series(keys, dtype=object), "n_ids": counts, "ids": out, "check": checks})
+            word = _loosen(places)[_loosen(pack)]
+            each = size[word]
+            ends = np.cumsum(each)
+            data = values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[word] - (ends - each), each)].tobytes()
+            cuts = np.r_[0, ends][np.cumsum(np.r_[0, sizes])] * width
+            out += [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            keys += list(ids)
+            counts.append(np.diff(cuts) // width)
+            checks.append(hashes)
+        return pd.DataFrame({"_id": pd.Series(keys, dtype=object), "n_ids": np.concatenate([np.zeros(0, np.int64), *counts]), "ids": out, "check": np.concatenate([np.zeros(0, np.int64), *checks])})
 
     rows = sent.groupBy("key").cogroup(back.groupBy("key")).applyInPandas(assemble, f"_id {kind}, n_ids long, ids binary, check long")
-    return rows.withColumnRenamed("_id", key)
+    # Groups are small, so that they fit in memory; a task takes several of them, so that files are not.
+    return rows.coalesce(max(1, tasks // GROUPS_PER_TASK)).withColumnRenamed("_id", key)
+
+
+def _texts(ids: list[bytes | None], plain: list[bytes], stored: str, prefix: bool) -> pa.Array:
+    """Texts of stored ids: the bytes of all pieces gathered at once."""
+    flat = np.frombuffer(b"".join(i or b"" for i in ids), stored).astype(np.int64)
+    rows = np.cumsum([0, *(len(i or b"") // np.dtype(stored).itemsize for i in ids)])
+    size = np.array([len(p) for p in plain])
+    begin = (np.cumsum(size) - size)[flat]
+    size = size[flat]
+    table = np.frombuffer(b"".join(plain), np.uint8)
+    if prefix:  # the space in front of a text goes
+        first = rows[:-1][np.diff(rows) > 0]
+        first = first[(size[first] > 0) & (table[np.minimum(begin[first], len(table) - 1)] == 32)]
+        begin[first] += 1
+        size[first] -= 1
+    ends = np.cumsum(size)
+    data = table[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+    offsets = np.r_[0, ends][rows]
+    if offsets[-1] < 1 << 31:
+        out = pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        try:
+            out.validate(full=True)
+            return out
+        except pa.ArrowInvalid:  # bytes of characters that were cut
+            pass
+    raw = data.tobytes()
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
 
 
 def decode(rows: DataFrame, key: str, ids: str, path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, text): texts of ids as `encode` stores them."""
+    """(key, *keep, text): texts of ids as `encode` stores them; bytes that are not UTF-8 become replacement characters."""
     model = load(path)
     plain, prefix, stored = model.plain, model.prefix, model.stored
     types = dict(rows.dtypes)
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(i, 1000), []
-                for data in part.column(1).to_pylist():
-                    raw = b"".join(map(plain.__getitem__, np.frombuffer(data or b"", stored).tolist()))
-                    out.append((raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(out, pa.string())], [key, *keep, "text"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], _texts(part.column(1).to_pylist(), plain, stored, prefix)], [key, *keep, "text"])
             release()
 
     return rows.select(key, ids, *keep).mapInArrow(run, ", ".join([f"`{key}` {types[key]}", *[f"`{c}` {types[c]}" for c in keep], "text string"]))

@@ -88,3 +88,14 @@ def test_clashing_id_column(spark):
     df = spark.createDataFrame([(1, "some text, here", 5)], "_id long, text string, batch int")
     (r,) = pieces.encode(df, "_id", "text").collect()
     assert r._id == 1 and np.frombuffer(r.ids, "<u2").tolist() == sp.encode("some text, here")
+
+
+def test_decoding_of_any_ids():
+    m = pieces.load()
+    rng = random.Random(9)
+    rows = [np.array([rng.randrange(len(m.plain)) if rng.random() < 0.7 else rng.choice(list(m.bytes.values())) for _ in range(rng.randrange(9))], m.stored).tobytes() for _ in range(300)] + [None, b""]
+    for own in (rows, rows[-2:], [np.array([m.ids["▁the"]], m.stored).tobytes()]):
+        got = pieces._texts(own, m.plain, m.stored, m.prefix).to_pylist()
+        for data, text in zip(own, got):
+            raw = b"".join(m.plain[i] for i in np.frombuffer(data or b"", m.stored))
+            assert text == (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
