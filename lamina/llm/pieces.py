@@ -39,7 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 61
 BATCH_BYTES = 8 << 20
-BUCKET_BYTES, TASKS, GROUPS_PER_TASK = 4 << 20, 1 << 15, 8
+BUCKET_BYTES, TASKS, GROUPS_PER_TASK = 4 << 20, 1 << 15, 4
+GATHER = 1 << 16
 _MARK = MARK.encode()
 
 
@@ -434,10 +435,15 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
         keys, out, counts, checks = [], [], [], []
         for pack, places, ids, sizes, hashes in zip(own["pack"], own["places"], own["ids"], own["sizes"], own["checks"], strict=True):
             word = _loosen(places)[_loosen(pack)]
-            each = size[word]
-            ends = np.cumsum(each)
-            data = values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[word] - (ends - each), each)].tobytes()
-            cuts = np.r_[0, ends][np.cumsum(np.r_[0, sizes])] * width
+            ends = np.r_[0, np.cumsum(size[word])]
+            cuts = ends[np.cumsum(np.r_[0, sizes])] * width
+            parts = []
+            for a in range(0, len(word), GATHER):
+                own_words = word[a : a + GATHER]
+                at = np.repeat((start[own_words] - ends[a : a + len(own_words)]).astype(np.int32), size[own_words])
+                at += np.arange(ends[a], ends[a] + len(at), dtype=np.int32)
+                parts.append(values[at])
+            data = np.concatenate([np.zeros(0, stored), *parts]).tobytes()
             out += [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             keys += list(ids)
             counts.append(np.diff(cuts) // width)
@@ -451,20 +457,25 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
 
 def _texts(ids: list[bytes | None], plain: list[bytes], stored: str, prefix: bool) -> pa.Array:
     """Texts of stored ids: the bytes of all pieces gathered at once."""
-    flat = np.frombuffer(b"".join(i or b"" for i in ids), stored).astype(np.int64)
+    flat = np.frombuffer(b"".join(i or b"" for i in ids), stored)
     rows = np.cumsum([0, *(len(i or b"") // np.dtype(stored).itemsize for i in ids)])
-    size = np.array([len(p) for p in plain])
-    begin = (np.cumsum(size) - size)[flat]
-    size = size[flat]
-    table = np.frombuffer(b"".join(plain), np.uint8)
+    table, sizes = np.frombuffer(b"".join(plain), np.uint8), np.array([len(p) for p in plain], np.int32)
+    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+    size = sizes[flat]
+    skip = np.zeros(len(flat), bool)
     if prefix:  # the space in front of a text goes
         first = rows[:-1][np.diff(rows) > 0]
-        first = first[(size[first] > 0) & (table[np.minimum(begin[first], len(table) - 1)] == 32)]
-        begin[first] += 1
-        size[first] -= 1
-    ends = np.cumsum(size)
-    data = table[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
-    offsets = np.r_[0, ends][rows]
+        skip[first] = (size[first] > 0) & (table[np.minimum(begins[flat[first]], len(table) - 1)] == 32)
+        size -= skip
+    offsets = np.r_[0, np.cumsum(size, dtype=np.int64)][rows]
+    parts = []
+    for a in range(0, len(flat), GATHER):
+        own, each = flat[a : a + GATHER], size[a : a + GATHER]
+        ends = np.cumsum(each, dtype=np.int32)
+        at = np.repeat(begins[own] + skip[a : a + GATHER] - (ends - each), each)
+        at += np.arange(len(at), dtype=np.int32)
+        parts.append(table[at])
+    data = np.concatenate([np.zeros(0, np.uint8), *parts])
     if offsets[-1] < 1 << 31:
         out = pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
         try:
@@ -484,8 +495,8 @@ def decode(rows: DataFrame, key: str, ids: str, path: str = MODEL, keep: tuple[s
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], _texts(part.column(1).to_pylist(), plain, stored, prefix)], [key, *keep, "text"])
             release()
 
