@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_length_buckets": packing.OP1_SQL, "op2_line_chunks": lines.OP2_SQL}
+    return {"op1_length_buckets": packing.OP1_SQL, "op2_line_chunks": lines.OP2_SQL, "op9_debruijn_repeats": substrings.OP9_SQL}

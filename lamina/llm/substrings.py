@@ -8,18 +8,20 @@ start, and every later one is a repeat. Three steps find all repeats without dea
    the hash of all its words. Windows repeated inside one chunk of documents are settled there.
 2. Matching. Compacted edges meet by anchor. Of equal ones all but the earliest are repeats as a whole. An anchor with
    one distinct edge is settled; where several distinct edges share an anchor the path branches, and
-   only the earliest coordinate of each is expanded into its windows.
+   only the earliest coordinate of each is expanded into its windows. Anchors of over a thousandth of all edges (a common phrase with
+   different words around it) are known beforehand: their edges are dealt by anchor and words, and count as branching.
 3. Verification and expansion. The source coordinates lead back to the words, in one pass over the texts: a
    matched edge counts only if the words at its own and at its source's place have equal digests (XXH3, apart from
    the hashes that matched them), and expanded windows meet by their hash, all but the earliest being repeats.
 
 Hot passages leave a chunk once, so a passage that a third of all documents hold meets as often as there
-are chunks. Edges travel in packs of columns, dealt by anchor into a number of buckets that follows the size of
-the input. Repeats inside a chunk are verified there, word hash by word hash; expanded windows meet by two 64-bit hashes.
+are chunks, and its source is read once however many ask for it. Edges travel in packs of columns, dealt by anchor into a number of buckets that follows the size of
+the input. Repeats inside a chunk are verified there, word hash by word hash; expanded windows must agree in two 64-bit hashes of their
+words. A matched edge whose digest differs is no repeat; for that, different words need equal hashes under an equal anchor.
 
 Defined results: a null text has no words; documents are ordered by doc_id, a null one last; rows that
 share a doc_id are one document in that order, and of windows with equal (doc_id, start) none is later
-than the other; an empty table gives no rows; other input columns are ignored.
+than the other; a key that is no integer is ordered by its own type's order; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
-from .tokens import Words, chunks, rolling, spans_hash
+from .common import cut, discard, documents
+from .tokens import Words, chunks, mix, rolling, spans_hash
 
 SIZE, ANCHOR = 20, 6
 CHUNK = 1 << 22
+HOT_SAMPLE, HOT_EDGES = 16, 100_000
 BUCKET_BYTES = 64 << 20
 _U, _LAST = np.uint64, np.iinfo(np.int64).max
 
@@ -137,15 +140,47 @@ def _deal(columns: dict[str, np.ndarray], by: np.ndarray, buckets: int):
 
 _PACKS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("rows", pa.int64()), ("pack", pa.binary())])
 _PACKS_DDL = "bucket long, kind int, rows long, pack binary"
-EDGES, REPEATS, DIGESTS = 0, 1, 2
+EDGES, REPEATS, DIGESTS, HOT = 0, 1, 2, 5
 
 
 def _packs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PACKS.types)], _PACKS.names)
 
 
-def compacted_edges(docs: DataFrame, key: str, text: str, size: int, anchor: int, buckets: int) -> DataFrame:
-    """Packs of compacted edges (a: anchor, b: words, d: document, t: hash of its text, s: start, n: windows) and of the windows settled as repeats (d, t, s, n)."""
+def _edges_of(words: Words, at: np.ndarray, size: int, anchor: int, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(least, follows, first, n): the anchor of each window, whether it continues the one before, and the runs that are edges."""
+    row = words.rows[at]
+    least = _least(rolling(words.hashes, anchor), size - anchor + 1)[at]
+    follows = np.r_[False, (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])]
+    f, n = _runs(follows & ~again & np.r_[False, ~again[:-1]] & np.r_[False, least[1:] == least[:-1]])
+    keep = ~again[f]
+    return least, follows, f[keep], n[keep]
+
+
+def hot_anchors(docs: DataFrame, key: str, text: str, size: int, anchor: int) -> np.ndarray:
+    """Anchors of over a thousandth of all edges, by a look at one document in HOT_SAMPLE: under 1,000. They tell where edges are dealt to; results do not depend on them."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0), CHUNK):
+                words = Words(data, offsets)
+                at, _ = windows(words, size)
+                if len(at):
+                    least, _, f, _ = _edges_of(words, at, size, anchor, np.zeros(len(at), bool))
+                    a, n = np.unique(least[f], return_counts=True)
+                    some = n > max(2, len(f) // 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[a[some].view(np.int64), 0]), pa.array(np.r_[n[some], 0]), pa.array(np.r_[n[some] * 0, len(f)])], ["a", "n", "edges"])
+
+    sample = docs.where(F.pmod(F.xxhash64(key, text), F.lit(HOT_SAMPLE)) == 0).select(text)
+    counts = cut(sample.mapInArrow(run, "a long, n long, edges long").groupBy("a").agg(F.sum("n").alias("n"), F.sum("edges").alias("edges")))
+    total = counts.agg(F.sum("edges")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(HOT_EDGES // HOT_SAMPLE, total // 1000)).select("a").collect()
+    discard(counts)
+    return np.sort(np.array([r.a for r in hot], np.int64).view(np.uint64))
+
+
+def compacted_edges(docs: DataFrame, key: str, text: str, size: int, anchor: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Packs of compacted edges (a: anchor, b: words, d: document, t: hash of its text, s: start, n: windows), those of hot anchors as HOT, and of the windows settled as repeats (d, t, s, n)."""
 
     def run(batches):
         for batch in batches:
@@ -159,19 +194,18 @@ def compacted_edges(docs: DataFrame, key: str, text: str, size: int, anchor: int
                 doc, text_, start = ids[lo:hi][row], texts[lo:hi][row], at - words.first[row]
                 again, lead = later(hashes, doc, start)
                 again[again] = _same_words(words.hashes, at[again], at[lead[again]], size)
-                least = _least(rolling(words.hashes, anchor), size - anchor + 1)[at]
-                next_ = np.r_[False, (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])]
+                least, next_, ef, en = _edges_of(words, at, size, anchor, again)
                 rows = []
                 f, n = _runs(next_ & again & np.r_[False, again[:-1]])
                 keep = again[f]
                 f, n = f[keep], n[keep]
                 if len(f):
                     rows.append((int(hashes[0] % _U(buckets)), REPEATS, len(f), _pack({"d": doc[f], "t": text_[f], "s": start[f], "n": n})))
-                f, n = _runs(next_ & ~again & np.r_[False, ~again[:-1]] & np.r_[False, least[1:] == least[:-1]])
-                keep = ~again[f]
-                f, n = f[keep], n[keep]
-                whole = spans_hash(words.hashes, at[f], at[f] + n + size - 1)
-                rows += [(b, EDGES, m, p) for b, m, p in _deal({"a": least[f], "b": whole, "d": doc[f], "t": text_[f], "s": start[f], "n": n}, least[f], buckets)]
+                whole = spans_hash(words.hashes, at[ef], at[ef] + en + size - 1)
+                columns = {"a": least[ef], "b": whole, "d": doc[ef], "t": text_[ef], "s": start[ef], "n": en}
+                burns = np.isin(least[ef], hot)
+                for kind, own, by in ((EDGES, ~burns, least[ef]), (HOT, burns, least[ef] ^ mix(whole))):
+                    rows += [(b, kind, m, p) for b, m, p in _deal({k: v[own] for k, v in columns.items()}, by[own], buckets)]
                 yield _packs(rows)
 
     return docs.select(key, text, F.hash(text)).mapInArrow(run, _PACKS_DDL)
@@ -186,9 +220,10 @@ def matched_edges(packs: DataFrame) -> DataFrame:
     (MATCHED), and windows that must be expanded because their anchor branches (OPEN)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges, known = pdf[pdf.kind == EDGES], pdf[pdf.kind == REPEATS]
+        edges, known = pdf[pdf.kind.isin((EDGES, HOT))], pdf[pdf.kind == REPEATS]
         r = _unpack(known.pack.tolist(), known.rows.tolist(), "dtsn")
         e = _unpack(edges.pack.tolist(), edges.rows.tolist(), "abdtsn")
+        hot = np.repeat(edges.kind.to_numpy() == HOT, edges.rows.to_numpy())
         order = np.lexsort((e["s"], e["d"], e["b"], e["a"]))
         e = {k: v[order] for k, v in e.items()}
         a, b, d, s = e["a"], e["b"], e["d"], e["s"]
@@ -198,7 +233,7 @@ def matched_edges(packs: DataFrame) -> DataFrame:
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
             repeat = (d > d[lead]) | (s > s[lead])
             group = np.cumsum(head_a) - 1
-            branches = np.bincount(group[head])[group] > 1
+            branches = (np.bincount(group[head])[group] > 1) | hot[order]
             open_ = branches & ~repeat
         else:
             repeat = open_ = np.zeros(0, bool)
@@ -218,13 +253,14 @@ OWN, SOURCE = 3, 4
 
 
 def reread_words(docs: DataFrame, spans: DataFrame, key: str, text: str, size: int, buckets: int) -> DataFrame:
-    """Packs of the windows in OPEN spans (a, b: hashes, d, t, s), and of the digests of both places of MATCHED ones (a: pair, b: digest, d, t, s, n;
+    """Packs of the windows in OPEN spans (a, b: hashes, d, t, s), and of the digests of both places of MATCHED ones (a: source, b: digest, d, t, s, n;
     n is 0 at the source), from the words at their coordinates."""
-    pair = F.xxhash64("doc", "t", "start")
+    matched = spans.where(F.col("state") == MATCHED)
+    pair = F.xxhash64("source_doc", "source_t", "source_start", "n")
     asked = spans.where(F.col("state") == OPEN).select("doc", "t", "start", "n", F.lit(OPEN).alias("what"), F.lit(0).cast("long").alias("pair"))
-    asked = asked.union(spans.where(F.col("state") == MATCHED).select("doc", "t", "start", "n", F.lit(OWN), pair))
-    asked = asked.union(spans.where(F.col("state") == MATCHED).select("source_doc", "source_t", "source_start", "n", F.lit(SOURCE), pair))
-    wanted = asked.groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n", "what", "pair")).alias("spans"))
+    asked = asked.union(matched.select("doc", "t", "start", "n", F.lit(OWN), pair)).union(matched.select("source_doc", "source_t", "source_start", "n", F.lit(SOURCE), pair))
+    # A set: a source is asked for once, so a text's spans are bounded by its own length.
+    wanted = asked.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "n", "what", "pair")).alias("spans"))
     joined = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.hash(text).alias("t"), F.col(text).alias("text")).join(wanted, ["doc", "t"]).select("doc", "t", "text", "spans")
 
     def run(batches):
@@ -271,11 +307,12 @@ def confirmed(packs: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         opened, digests = pdf[pdf.kind == EDGES], pdf[pdf.kind == DIGESTS]
         w = _unpack(opened.pack.tolist(), opened.rows.tolist(), "abdts")
-        again, _ = later(w["a"] ^ (w["b"] * _U(0x9E3779B97F4A7C15)), w["d"], w["s"])
+        again, lead = later(w["a"] ^ (w["b"] * _U(0x9E3779B97F4A7C15)), w["d"], w["s"])
+        again &= (w["a"] == w["a"][lead]) & (w["b"] == w["b"][lead])
         v = _unpack(digests.pack.tolist(), digests.rows.tolist(), "abdtsn")
         order = np.lexsort((v["n"], v["a"]))
         v = {k: x[order] for k, x in v.items()}
-        # The source comes first in its pair; rows that repeat a document give equal entries.
+        # The source comes first among those that ask for it; rows that repeat a document give equal entries.
         head = np.r_[True, v["a"][1:] != v["a"][:-1]] if len(order) else np.zeros(0, bool)
         source = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else np.zeros(0, int)
         good = (v["n"] > 0) & (v["n"][source] == 0) & (v["b"] == v["b"][source])
@@ -290,7 +327,8 @@ def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int
         raise ValueError("anchor must be shorter than size")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    spans = cut(matched_edges(compacted_edges(docs, key, text, size, anchor, buckets)))
+    hot = hot_anchors(docs, key, text, size, anchor)
+    spans = cut(matched_edges(compacted_edges(docs, key, text, size, anchor, buckets, hot)))
     found = confirmed(reread_words(docs, spans, key, text, size, buckets))
     return spans.where(F.col("state") == SETTLED).select("doc", "t", "start", "n").union(found)
 
@@ -298,6 +336,13 @@ def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int
 def remove_repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256, kept): kept is the words left, joined by spaces."""
     kind = dict(docs.select(key).dtypes)[key]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        # Numbers in the order of the keys: partitions are ranges, sorted inside.
+        ranges = docs.select(F.col(key).alias("_lamina_key")).where(F.col(key).isNotNull()).distinct().repartitionByRange("_lamina_key").sortWithinPartitions("_lamina_key")
+        numbers = cut(ranges.withColumn("_lamina_id", F.monotonically_increasing_id()))
+        whole = docs.select(key, text).join(numbers, F.col(key) == F.col("_lamina_key"), "left").select(F.col("_lamina_id"), F.col(text).alias("_lamina_text"))
+        out = remove_repeats(whole, "_lamina_id", "_lamina_text", size, anchor)
+        return out.join(numbers, "_lamina_id", "left").select(F.col("_lamina_key").alias(key), "n_words", "n_removed", "kept_sha256", "kept")
     spans = repeats(docs, key, text, size, anchor).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = docs.select(key, F.coalesce(F.col(key), F.lit(_LAST)).alias("_doc"), F.hash(text).alias("_t"), text).join(spans.withColumnsRenamed({"doc": "_doc", "t": "_t"}), ["_doc", "_t"], "left").select(key, text, "spans")
 
@@ -330,3 +375,19 @@ def remove_repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, ancho
 
 def op9_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# Rows that share a doc_id cannot be told apart here, so this needs unique doc_ids, as in the test tables.
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - {SIZE - 2})) AS i, ws FROM t WHERE len(ws) >= {SIZE}),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + {SIZE - 1}], ' ') AS win FROM g),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM k),
+m AS (
+  SELECT w.doc_id, w.word, w.i, coalesce(max(r.again::INT) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN {SIZE - 1} PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i),
+s AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id)
+"""

@@ -71,3 +71,39 @@ def test_matched_spans_without_equal_words_are_dropped(spark):
     rows = [(b, substrings.DIGESTS, m, p) for b, m, p in substrings._deal(columns, columns["a"], 1)]
     got = substrings.confirmed(spark.createDataFrame([(b, k, m, bytearray(p)) for b, k, m, p in rows], substrings._PACKS_DDL)).collect()
     assert [tuple(r) for r in got] == [(5, 0, 10, 3)]
+
+
+def test_common_phrase_with_different_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 3000)
+    monkeypatch.setattr(substrings, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(substrings, "HOT_EDGES", 20)
+    rng = random.Random(12)
+    phrase = " ".join(f"p{k}" for k in range(16))
+    rows = []
+    for i in range(400):
+        around = [f"v{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((i, " ".join([*around[:20], *(phrase.split() if i % 10 else []), *around[20:]])))
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows += [(1000 + i, f"a{i} {phrase} {shared} z{i}") for i in range(5)] + [(2000, rows[7][1]), (2001, rows[8][1] + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(substrings.hot_anchors(df, "doc_id", "text", 20, 6)) >= 1
+    check(spark, rows, 20, 6, 4)
+
+
+def test_other_keys(spark):
+    run = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", run), ("a", "x " + run), (None, run), ("c", None)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(df, "id", "text").collect()}
+    assert got == {"a": (41, 0), "b": (40, 40), None: (40, 40), "c": (0, 0)}
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(7, [f"w{i}é" for i in range(200)], 60))] + [(900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = substrings.op9_debruijn_repeats(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(duck.execute(f"SELECT {', '.join(out.columns)} FROM ({substrings.OP9_SQL})").fetchall())
