@@ -56,6 +56,12 @@ def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def dealt(df: DataFrame, total: int, *keys: str, most: int = 64 << 20) -> DataFrame:
+    """df, whose texts have `total` bytes, in partitions by the keys of `most` bytes where the session's own number of partitions would make larger ones."""
+    n = -(-total // most)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def release() -> None:
     """Give freed memory back to the system: idle Python workers stay resident beside the executor."""
     import ctypes

@@ -14,6 +14,7 @@ rows; other input columns are ignored; a text without any match has an empty rep
 
 from __future__ import annotations
 
+import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -177,15 +178,23 @@ def scan_rows(data: np.ndarray, offsets: np.ndarray, index: Index, min_coverage:
             if matched >= min_coverage * len(template):
                 found.setdefault(row, []).append((index.names[t], matched / len(template), matched, int(scan.starts[base + a]), int(scan.ends[base + b - 1])))
     for row, matches in found.items():
-        matches.sort(key=lambda m: (-m[2], -m[1], m[3], m[0]))
-        kept: list = []
-        for m in matches:
-            if all(m[4] <= o[3] or o[4] <= m[3] for o in kept):
-                kept.append(m)
-        found[row] = sorted(kept, key=lambda m: m[3])
+        found[row] = disjoint(matches)
     return found
 
 
+def disjoint(matches: list) -> list:
+    """Of matches that overlap in the text the one with more matched words, then the higher coverage, then the earlier one, then by name; in text order."""
+    starts: list[int] = []
+    kept: list = []
+    for m in sorted(matches, key=lambda m: (-m[2], -m[1], m[3], m[0])):
+        # Those kept are apart, so only the neighbours of a place can overlap.
+        k = bisect.bisect_left(starts, m[3])
+        if (k == 0 or kept[k - 1][4] <= m[3]) and (k == len(kept) or kept[k][3] >= m[4]):
+            starts.insert(k, m[3])
+            kept.insert(k, m)
+    return kept
+
+
 def find_licenses(df: DataFrame, key: str, text: str, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(key, n_matches, licenses, report): licenses found, comma-joined in text order, and name:coverage:start:end of each match."""
     index = Index(templates or TEMPLATES)

@@ -156,8 +156,10 @@ def parse(data: bytes) -> dict[int, dict]:
 
 
 def demux(data: bytes) -> tuple[bytes, dict]:
-    """The payload that `mux` stored, checked against the digest stream, and its sample stream."""
+    """The payload that `mux` stored, checked against the digest stream, and its sample stream. ValueError for other or damaged bytes."""
     streams = parse(data)
+    if SAMPLES not in streams or DIGESTS not in streams or streams[SAMPLES]["codec"] != "pcm8":
+        raise ValueError("no sample and digest streams")
     s, d = streams[SAMPLES], streams[DIGESTS]
     parts = [p for p, _, _ in s["packets"][1:]]
     if [struct.pack("<II", len(p), zlib.crc32(p)) for p in parts] != [p for p, _, _ in d["packets"][1:]]:
@@ -206,7 +208,8 @@ def _slices(batch: pa.RecordBatch, rows: int = 1000):
 
 
 def features(df: DataFrame, key: str, media: str) -> DataFrame:
-    """(key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of files that `encode_texts` made, from the bytes read back."""
+    """(key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of files that `encode_texts` made, from the bytes read back.
+    Null media has nulls alone; of other or damaged media there are media_bytes, media_sha256 and a feature that begins with error=."""
     kind = dict(df.select(key).dtypes)[key]
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -215,7 +218,16 @@ def features(df: DataFrame, key: str, media: str) -> DataFrame:
             rows = []
             rest = batch.columns[2:]
             for data in batch.column(1).to_pylist():
-                payload, s = demux(data)
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
+                try:
+                    payload, s = demux(data)
+                    if not payload:
+                        raise ValueError("no samples")
+                except ValueError as e:
+                    rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), f"error={e}"))
+                    continue
                 wave = np.frombuffer(payload, np.uint8)
                 end = s["packets"][-1]
                 feature = f"codec={s['codec']};rate={s['rate']};pages={s['all_pages']};bad={s['bad']};packets={len(s['packets'])};granule={end[1]};end_us={end[2]};mean_milli={int(wave.sum(dtype=np.int64)) * 1000 // len(wave)};peak={int(wave.max())}"

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, documents
+from .common import cut, dealt, discard, documents
 from .tokens import Words, chunks, mix, rolling, spans_hash
 
 SIZE, ANCHOR = 20, 6
@@ -252,7 +252,7 @@ def matched_edges(packs: DataFrame) -> DataFrame:
 OWN, SOURCE = 3, 4
 
 
-def reread_words(docs: DataFrame, spans: DataFrame, key: str, text: str, size: int, buckets: int) -> DataFrame:
+def reread_words(docs: DataFrame, spans: DataFrame, key: str, text: str, size: int, buckets: int, total: int) -> DataFrame:
     """Packs of the windows in OPEN spans (a, b: hashes, d, t, s), and of the digests of both places of MATCHED ones (a: source, b: digest, d, t, s, n;
     n is 0 at the source), from the words at their coordinates."""
     matched = spans.where(F.col("state") == MATCHED)
@@ -261,7 +261,8 @@ def reread_words(docs: DataFrame, spans: DataFrame, key: str, text: str, size: i
     asked = asked.union(matched.select("doc", "t", "start", "n", F.lit(OWN), pair)).union(matched.select("source_doc", "source_t", "source_start", "n", F.lit(SOURCE), pair))
     # A set: a source is asked for once, so a text's spans are bounded by its own length.
     wanted = asked.groupBy("doc", "t").agg(F.collect_set(F.struct("start", "n", "what", "pair")).alias("spans"))
-    joined = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.hash(text).alias("t"), F.col(text).alias("text")).join(wanted, ["doc", "t"]).select("doc", "t", "text", "spans")
+    rows = docs.select(F.coalesce(F.col(key), F.lit(_LAST)).alias("doc"), F.hash(text).alias("t"), F.col(text).alias("text"))
+    joined = dealt(rows, total, "doc", "t").join(wanted, ["doc", "t"]).select("doc", "t", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -321,15 +322,19 @@ def confirmed(packs: DataFrame) -> DataFrame:
     return packs.groupBy("bucket").applyInPandas(run, "doc long, t int, start int, n int")
 
 
-def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, t, start, n): runs of n windows of `size` words, from word `start` on, whose words also start earlier. A null key is the largest long; t is the text's hash."""
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, anchor: int = ANCHOR, total: int | None = None) -> DataFrame:
+    """(doc, t, start, n): runs of n windows of `size` words, from word `start` on, whose words also start earlier. A null key is the largest long; t is the text's hash. total: bytes of all texts, if known."""
     if not 1 <= anchor < size:
         raise ValueError("anchor must be shorter than size")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = text_bytes(docs, text) if total is None else total
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     hot = hot_anchors(docs, key, text, size, anchor)
     spans = cut(matched_edges(compacted_edges(docs, key, text, size, anchor, buckets, hot)))
-    found = confirmed(reread_words(docs, spans, key, text, size, buckets))
+    found = confirmed(reread_words(docs, spans, key, text, size, buckets, total))
     return spans.where(F.col("state") == SETTLED).select("doc", "t", "start", "n").union(found)
 
 
@@ -343,8 +348,10 @@ def remove_repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, ancho
         whole = docs.select(key, text).join(numbers, F.col(key) == F.col("_lamina_key"), "left").select(F.col("_lamina_id"), F.col(text).alias("_lamina_text"))
         out = remove_repeats(whole, "_lamina_id", "_lamina_text", size, anchor)
         return out.join(numbers, "_lamina_id", "left").select(F.col("_lamina_key").alias(key), "n_words", "n_removed", "kept_sha256", "kept")
-    spans = repeats(docs, key, text, size, anchor).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = docs.select(key, F.coalesce(F.col(key), F.lit(_LAST)).alias("_doc"), F.hash(text).alias("_t"), text).join(spans.withColumnsRenamed({"doc": "_doc", "t": "_t"}), ["_doc", "_t"], "left").select(key, text, "spans")
+    total = text_bytes(docs, text)
+    spans = repeats(docs, key, text, size, anchor, total).groupBy("doc", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    rows = docs.select(key, F.coalesce(F.col(key), F.lit(_LAST)).alias("_doc"), F.hash(text).alias("_t"), text)
+    joined = dealt(rows, total, "_doc", "_t").join(spans.withColumnsRenamed({"doc": "_doc", "t": "_t"}), ["_doc", "_t"], "left").select(key, text, "spans")
 
     def run(batches):
         for batch in batches:

@@ -64,3 +64,75 @@ def test_edited_text_is_still_found_with_its_coverage(spark):
     name, coverage, _, _ = r.report.split(":")
     assert name == "mit" and 0.85 < float(coverage) < 1
     assert licenses.find_licenses(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def brute_report(text, templates, coverage=licenses.MIN_COVERAGE):
+    """Every start in the text against every whole template by the full table; of spans that overlap the best, as the operator says."""
+    at = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", text)]
+    found = []
+    for name, template in templates.items():
+        t = [w.lower() for w in re.findall(r"[A-Za-z0-9]+", template)]
+        band = min(licenses.BAND, len(t) // 4)
+        own = []
+        for i in range(len(at)):
+            window = [w for w, _, _ in at[i : i + len(t) + band]]
+            # Row by row: the matches of each prefix of the window.
+            best = [0] * (len(t) + 1)
+            prefix = [0]
+            for w in window:
+                new = [0]
+                for k, x in enumerate(t):
+                    new.append(best[k] + 1 if x == w else max(new[k], best[k + 1]))
+                best = new
+                prefix.append(best[-1])
+            m = prefix[-1]
+            if m and m >= coverage * len(t):
+                own.append((m, i, prefix.index(m) + i))
+        own = [c for c in own if not any(d != c and d[0] >= c[0] and d[1] >= c[1] and d[2] <= c[2] for d in own)]
+        found += [(name, m / len(t), m, at[a][1], at[b - 1][2]) for m, a, b in own]
+    kept = []
+    for c in sorted(found, key=lambda c: (-c[2], -c[1], c[3], c[0])):
+        if all(c[4] <= o[3] or o[4] <= c[3] for o in kept):
+            kept.append(c)
+    return ",".join(f"{n}:{c:.4f}:{a}:{b}" for n, c, _, a, b in sorted(kept, key=lambda c: c[3]))
+
+
+def test_whole_operator_equals_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [f"t{i}" for i in range(60)]
+    templates = {f"lic{k}": " ".join(rng.sample(vocabulary, rng.randrange(12, 25))) for k in range(5)}
+    templates["longer"] = templates["lic0"] + " " + " ".join(rng.sample(vocabulary, 10))
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randrange(4)):
+            text += [f"f{rng.randrange(99)}" for _ in range(rng.randrange(30, 45))]
+            words = templates[rng.choice(list(templates))].split()
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice([[], ["é" if rng.random() < 0.5 else "changed"], [words[k], "added"]])
+            text += words
+            if rng.random() < 0.3:
+                text += words  # repeated at once
+        rows.append((i, " ".join(text) + rng.choice(["", ".", " é"])))
+    rows += [(100, None), (101, "")]
+    got = {r.doc_id: r.report for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", templates).collect()}
+    assert got == {d: brute_report(t or "", templates) for d, t in rows}
+    assert sum(bool(r) for r in got.values()) > 30
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    import numpy as np
+
+    index = licenses.Index(licenses.TEMPLATES)
+
+    def took(n):
+        data = np.frombuffer(b"All rights reserved. w x " * n, np.uint8)
+        start = time.perf_counter()
+        assert len(licenses.scan_rows(data, np.array([0, len(data)]), index, 0.6)[0]) == n
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(50_000) < 15 * took(5_000) + 2
