@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import lines
 
 
 def latest(writes: DataFrame, arrival: str) -> DataFrame:
@@ -16,5 +17,4 @@ def latest(writes: DataFrame, arrival: str) -> DataFrame:
 
 def topics(summary: Column) -> Column:
     """Backticked topics of the summary's topic line; empty without one."""
-    line = F.regexp_extract(F.coalesce(summary, F.lit("")), rf"\*\*{fixed.DAY_TOPICS}\*\*[：:]\s*([^\n]+)", 1)
-    return F.regexp_extract_all(line, F.lit("`([^`]+)`"), F.lit(1))
+    return lines.quoted(lines.field(lines.of(summary), fixed.DAY_TOPICS))

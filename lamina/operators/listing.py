@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -59,13 +60,69 @@ def report(spark: SparkSession, tables: list[str] | None = None, shown: int = 3,
     return "\n".join(out)
 
 
+def statements(code: str) -> list[str]:
+    """Every CREATE TABLE statement in a text, from its first word to the parenthesis that closes its columns; quoted parts may hold parentheses."""
+    out, low, at = [], code.lower(), 0
+    while (at := low.find("create", at)) >= 0:
+        words = low[at : at + 200].partition("(")[0].split()
+        opens = low.find("(", at)
+        if words[1:2] != ["table"] or len(words) not in (3, 6) or opens < 0:
+            at += 6
+            continue
+        depth, quote, end = 0, "", opens
+        for end in range(opens, len(code)):
+            c = code[end]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "'\"`":
+                quote = c
+            else:
+                depth += (c == "(") - (c == ")")
+                if not depth:
+                    break
+        if depth:
+            break
+        out.append(code[at : end + 1])
+        at = end + 1
+    return out
+
+
+def sniffed(files: DataFrame) -> DataFrame:
+    """(path, header_hex, header, create_tables) of files (path, content): the first 16 bytes and every CREATE TABLE statement in the bytes."""
+
+    def run(batches):
+        for batch in batches:
+            found = [statements((c or b"").decode("latin-1")) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["path", "head", "create_tables"])
+
+    rows = files.select("path", "content").mapInArrow(run, "path string, head binary, create_tables array<string>")
+    start = F.substring("head", 1, 16)
+    return rows.select("path", F.lower(F.hex(start)).alias("header_hex"), F.decode(start, "ISO-8859-1").alias("header"), "create_tables")
+
+
 def sniff(spark: SparkSession, path: str) -> DataFrame:
-    """(path, header_hex, header, create_tables) of files: the first 16 bytes and every CREATE TABLE statement in the bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    content = F.decode("content", "ISO-8859-1")
-    return files.select("path", F.lower(F.hex(F.substring("content", 1, 16))).alias("header_hex"), F.substring(content, 1, 16).alias("header"), F.regexp_extract_all(content, F.lit(r"(?is)CREATE\s+TABLE\s+\w+\s*\([^)]*\)"), F.lit(0)).alias("create_tables"))
+    """`sniffed` of the files under a path."""
+    return sniffed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def with_suffix(files: DataFrame, suffixes: tuple[str, ...] = (".json", ".db")) -> DataFrame:
+    """The rows whose path ends with one of the suffixes."""
+    keep = F.lit(False)
+    for s in suffixes:
+        keep = keep | F.col("path").endswith(s)
+    return files.where(keep)
 
 
 def find_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".json", ".db")) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.where(" or ".join(f"endswith(path, '{s}')" for s in suffixes))
+    return with_suffix(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path"), suffixes)
+
+
+def ordered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `position` from 1 in the order given: listings as the interface shows them. For listings of a page's size."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+def columns_of(df: DataFrame) -> DataFrame:
+    """(position, name, type) of a table's columns."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields, 1)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")

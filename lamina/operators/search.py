@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
@@ -84,6 +84,3 @@ def hydrate(hits: DataFrame, fragments: DataFrame, daily: DataFrame, entries: Da
         "agent_id", "daily_summary", "topic_name", "topic_summary",
     )
 
-
-def hierarchy() -> Column:
-    return F.struct("daily_summary", "topic_name", "topic_summary").alias("hierarchy")

@@ -11,7 +11,9 @@ from .numbering import numbered
 
 def append_turns(new: DataFrame, existing: DataFrame | None, arrival: str, now: Column | None = None) -> DataFrame:
     """Rows of `turns` for new (date, role, content, agent_id and a long `arrival` that gives their order), numbered after the turns each date has."""
-    base = None if existing is None else existing.groupBy("date").agg(F.max("seq").alias("last"))
+    # Only the dates written to are looked at, so that others' partitions are pruned.
+    dates = F.broadcast(new.select("date").distinct())
+    base = None if existing is None else existing.join(dates, "date", "left_semi").groupBy("date").agg(F.max("seq").alias("last"))
     rows = numbered(new, ["date"], [arrival], F.col(arrival), "seq", base=base)
     return rows.select("date", "seq", text.turn_id(F.col("seq")).alias("turn_id"), "role", "content", (now if now is not None else F.current_timestamp()).alias("timestamp"), "agent_id")
 
@@ -27,6 +29,3 @@ def range_texts(ranges: DataFrame, turns: DataFrame) -> DataFrame:
     texts = lines.groupBy("date", "start_turn_id", "end_turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n\n").alias("turns_text"))
     return ranges.join(texts, ["date", "start_turn_id", "end_turn_id"], "left").withColumn("turns_text", F.coalesce("turns_text", F.lit("")))
 
-
-def dates(turns: DataFrame) -> DataFrame:
-    return turns.select("date").distinct()

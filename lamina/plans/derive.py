@@ -60,7 +60,7 @@ def daily(frags: DataFrame) -> DataFrame:
 
 
 def topic_writes(frags: DataFrame) -> DataFrame:
-    return frags.select(F.col("topic_name").alias("name"), "date", "fragment_id", F.substring("task_desc", 1, 40).alias("summary"), F.col("conv_id").alias("arrival"))
+    return frags.select(F.col("topic_name").alias("name"), "date", "fragment_id", F.col("task_desc").alias("summary"), F.col("conv_id").alias("arrival"))
 
 
 def topic_entries(frags: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ daily AS (
   SELECT date, '**涉及主题**: ' || string_agg('`' || topic_name || '`', ' ' ORDER BY topic_name) AS summary_md
   FROM (SELECT DISTINCT date, topic_name FROM frags) GROUP BY date),
 entries AS (
-  SELECT topic_slug, topic_name AS name, date, fragment_id, substr(task_desc, 1, 40) AS summary, conv_id AS arrival
+  SELECT topic_slug, topic_name AS name, date, fragment_id, task_desc AS summary, conv_id AS arrival
   FROM frags QUALIFY row_number() OVER (PARTITION BY topic_slug, date ORDER BY conv_id) = 1),
 topics AS (
   SELECT topic_slug, arg_min(name, arrival) AS name, min(date) AS start_date, max(date) AS end_date, count(*) AS n_entries,
