@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
-from .encode import Encoder
+from .encode import Encoder, backfill
 from .functions import text
 from .operators import daily, fragments, listing, search, topics, turns
+from .sources import files
 from .sources.tables import Store
 
 
@@ -42,10 +43,39 @@ class Memory:
     def store_turns(self, new: DataFrame, arrival: str) -> None:
         self.store.append("turns", turns.append_turns(new, self.store.read("turns"), arrival))
 
+    def store_messages(self, new: DataFrame) -> None:
+        """Append turns of a message log (id, date, role, content, agent_id). A message that the store holds is left out, so a batch may come again."""
+        dates = F.broadcast(new.select("date").distinct())
+        known = self.store.read("turns").where("message_id is not null").join(dates, "date", "left_semi").select(F.col("message_id").alias("id"))
+        fresh = new.join(known, "id", "left_anti").withColumn("message_id", F.col("id"))
+        self.store.append("turns", turns.append_turns(fresh, self.store.read("turns"), "id"))
+
+    def backfill(self) -> DataFrame:
+        """Make the vectors of all fragments anew in place of the stored ones; counts by status ok or skipped."""
+        made, counts = backfill(self.store.read("fragments"), self.encoder)
+        self.store.replace("vectors", made)
+        return counts
+
+    def import_folder(self, path: str, arrival: int = 0) -> None:
+        """Take over a folder of the file forms (raw/<date>/turns.jsonl, fragments/<date>/*.md and *.embedding, daily/*.md, topics/*.md) into an empty store."""
+        files_of = lambda name, form: self.store.has(f"{path}/{name}", form)
+        if files_of("raw", "*/turns.jsonl"):
+            self.store.replace("turns", files.read_turns(self.spark, f"{path}/raw", strict=False).withColumn("message_id", F.lit(None).cast("long")))
+        if files_of("fragments", "*/*.md"):
+            number = F.regexp_extract("fragment_id", r"([0-9]+)$", 1).try_cast("int")
+            self.store.replace("fragments", files.read_fragments(self.spark, f"{path}/fragments").withColumn("frag_no", number))
+        if files_of("fragments", "*/*.embedding"):
+            self.store.replace("vectors", files.read_vectors(self.spark, f"{path}/fragments"))
+        if files_of("daily", "*.md"):
+            self.store.replace("daily", files.read_daily(self.spark, f"{path}/daily"))
+        if files_of("topics", "*.md"):
+            entry = files.read_topics(self.spark, f"{path}/topics").withColumn("e", F.explode("entries"))
+            self.store.replace("topic_entries", entry.select("topic_slug", "name", "e.date", "e.fragment_id", "e.summary", "status", "constraints", F.lit(arrival).cast("long").alias("arrival")))
+
     def create_fragments(self, inputs: DataFrame, arrival: str) -> None:
         known = self.store.read("fragments").select("fragment_id")
         self.store.append("fragments", fragments.create_fragments(inputs, self.store.read("turns"), self.store.read("fragments"), arrival))
-        if self.encoder.load is not None:
+        if self.encoder.ready:
             self.store.append("vectors", self.encoder.vectors(self.store.read("fragments").join(known, "fragment_id", "left_anti").join(self.store.read("vectors"), "fragment_id", "left_anti")))
 
     def write_daily(self, writes: DataFrame, arrival: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,32 +12,54 @@ from pyspark.sql import functions as F
 
 from .functions import text
 
+log = logging.getLogger(__name__)
+
 Encode = Callable[[list[str]], list[list[float]]]
 
 
+#: Encode functions that this process has loaded, by encoder; None where loading failed.
+_LOADED: dict[str, Encode | None] = {}
+
+
+def _loaded(name: str, load: Callable[[], Encode] | None) -> Encode | None:
+    if name not in _LOADED:
+        try:
+            _LOADED[name] = load() if load is not None else None
+        except Exception:
+            log.warning("the encoder can't be loaded; search goes by keywords", exc_info=True)
+            _LOADED[name] = None
+    return _LOADED[name]
+
+
 class Encoder:
-    """load() gives the encode function; it is called once in each worker. Without load there are no vectors and search goes by keywords."""
+    """load() gives the encode function; it is called once in each process. Without load, or where it fails, there are no vectors and search goes by keywords."""
 
     def __init__(self, load: Callable[[], Encode] | None = None):
-        self.load = load
+        self.load, self.name = load, uuid.uuid4().hex
+
+    @property
+    def ready(self) -> bool:
+        """Whether this process has an encode function."""
+        return _loaded(self.name, self.load) is not None
 
     @property
     def mode(self) -> str:
-        return "fallback" if self.load is None else "transformers"
+        return "transformers" if self.ready else "fallback"
 
     def one(self, query: str) -> list[float]:
-        return [] if self.load is None else list(self.load()([query])[0])
+        run = _loaded(self.name, self.load)
+        return [] if run is None else list(run([query])[0])
 
     def column(self, source):
         if self.load is None:
             return F.array().cast("array<float>")
-        load = self.load
+        name, load = self.name, self.load
 
         @F.pandas_udf("array<float>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            run = load()
+            run = _loaded(name, load)
             for batch in batches:
-                yield pd.Series(run(batch.fillna("").tolist()), index=batch.index)
+                yield pd.Series(run(batch.fillna("").tolist()) if run is not None else [[]] * len(batch), index=batch.index)
 
         return encode(source)
 
@@ -47,7 +71,7 @@ class Encoder:
 
 def backfill(fragments: DataFrame, encoder: Encoder) -> tuple[DataFrame, DataFrame]:
     """(vectors of all fragments, counts by status ok or skipped). Without an encoder it raises: no vector could be made."""
-    if encoder.load is None:
+    if not encoder.ready:
         raise RuntimeError("backfill needs an encoder")
     vectors = encoder.vectors(fragments)
     return vectors, status(fragments, vectors).groupBy("status").count()

@@ -18,6 +18,18 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def utf16_length(c: Column) -> Column:
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+
+
+def uri_parts(uri: Column) -> Column:
+    """struct(kind, key) of a memory:// address; kind 'root' without any, null for other addresses."""
+    parts = F.filter(F.split(F.substr(uri, F.lit(10)), "/"), lambda p: p != "")
+    kind = F.coalesce(F.get(parts, F.lit(0)), F.lit("root"))
+    key = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    return F.when(uri.startswith("memory://"), F.struct(kind.alias("kind"), key.alias("key")))
+
+
 def slug(name: Column) -> Column:
     """Key of a topic name: trimmed, white space to -, everything but ASCII letters, digits, ideographs, - and _ removed. Case stays."""
     return F.regexp_replace(F.regexp_replace(trim(name), f"{SPACE}+", "-"), f"[^a-zA-Z0-9{HAN}\\-_]", "")

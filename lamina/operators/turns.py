@@ -10,12 +10,13 @@ from .numbering import numbered
 
 
 def append_turns(new: DataFrame, existing: DataFrame | None, arrival: str, now: Column | None = None) -> DataFrame:
-    """Rows of `turns` for new (date, role, content, agent_id and a long `arrival` that gives their order), numbered after the turns each date has."""
+    """Rows of `turns` for new (date, role, content, agent_id and a long `arrival` that gives their order), numbered after the turns each date has.
+    message_id, if new has it, tells which message of a log a turn comes from."""
     # Only the dates written to are looked at, so that others' partitions are pruned.
     dates = F.broadcast(new.select("date").distinct())
     base = None if existing is None else existing.join(dates, "date", "left_semi").groupBy("date").agg(F.max("seq").alias("last"))
     rows = numbered(new, ["date"], [arrival], F.col(arrival), "seq", base=base)
-    return rows.select("date", "seq", text.turn_id(F.col("seq")).alias("turn_id"), "role", "content", (now if now is not None else F.current_timestamp()).alias("timestamp"), "agent_id")
+    return rows.select("date", "seq", text.turn_id(F.col("seq")).alias("turn_id"), "role", "content", (now if now is not None else F.current_timestamp()).alias("timestamp"), "agent_id", F.col("message_id") if "message_id" in new.columns else F.lit(None).cast("long").alias("message_id"))
 
 
 def range_texts(ranges: DataFrame, turns: DataFrame) -> DataFrame:

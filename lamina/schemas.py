@@ -1,6 +1,6 @@
 """Tables of the memory store."""
 
-TURNS = "date string, seq int, turn_id string, role string, content string, timestamp timestamp, agent_id string"
+TURNS = "date string, seq int, turn_id string, role string, content string, timestamp timestamp, agent_id string, message_id long"
 FRAGMENTS = "fragment_id string, date string, frag_no int, start_turn_id string, end_turn_id string, task_desc string, result_desc string, tags array<string>, topic_name string, topic_slug string, agent_id string, turns_text string"
 VECTORS = "fragment_id string, embedding array<float>"
 DAILY = "date string, summary_md string"

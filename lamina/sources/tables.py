@@ -28,6 +28,11 @@ class Store:
         found = sorted(str(s.getPath().getName()) for s in pattern or [])
         return f"{self.root}/{name}/{found[-1].split('-', 2)[2]}" if found else None
 
+    def has(self, folder: str, form: str) -> bool:
+        """Whether a folder holds files whose path under it matches the glob."""
+        path = self._path(f"{folder}/{form}")
+        return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path))
+
     def read(self, name: str) -> DataFrame:
         folder = self._folder(name)
         if folder is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -13,9 +13,9 @@ MIN_LENGTH = 2
 
 def transform(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """(id, date, role, content, agent_id) of messages (id, session_id, role, content, created_at) with text of two
-    characters or more. A message without a usable date is left to `quarantined`."""
+    UTF-16 units or more (a character beyond the basic plane counts two). A message without a usable date is left to `quarantined`."""
     agents = sessions.where("agent_id is not null").groupBy(F.col("id").alias("session_id")).agg(F.min("agent_id").alias("agent_id"))
-    rows = messages.withColumn("content", text.message_text(F.col("content"))).where((F.length(text.trim(F.col("content"))) >= MIN_LENGTH) & F.col("created_at").isNotNull())
+    rows = messages.withColumn("content", text.message_text(F.col("content"))).where((text.utf16_length(text.trim(F.col("content"))) >= MIN_LENGTH) & F.col("created_at").isNotNull())
     return rows.join(agents, "session_id", "left").select("id", F.substring("created_at", 1, 10).alias("date"), text.stored_role(F.col("role")).alias("role"), "content", "agent_id")
 
 
@@ -70,7 +70,13 @@ def start(spark: SparkSession, messages: DataFrame, sessions, path: str, checkpo
     return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
 
 
-def newest(turns: DataFrame) -> DataFrame:
-    """The last turn of each date."""
-    last = Window.partitionBy("date").orderBy(F.desc("seq"))
-    return turns.withColumn("_at", F.row_number().over(last)).where("_at = 1").drop("_at")
+def start_into(memory, messages: DataFrame, sessions, checkpoint: str, interval: str | None = "3 seconds"):
+    """As `start`, into the turns of a `Memory`: fragments, search, listings and resources see them."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        memory.store_messages(transform(batch.dropDuplicates(["id"]), sessions()))
+        batch.unpersist()
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()

@@ -237,3 +237,57 @@ def test_report(spark):
     spark.createDataFrame([(1, None), (2, "x" * 200)], "a int, b string").createOrReplaceTempView("shown")
     lines = listing.report(spark, ["shown", "sqlite_sequence"]).splitlines()
     assert lines[0] == "=== shown ===" and lines[2] == "Columns: a, b" and lines[3] == "  1 | " and len(lines[4]) == len("  2 | ") + 80
+
+
+def test_ingested_messages_reach_the_memory(spark, tmp_path):
+    spark.dataSource.register(SqliteSource)
+    path = str(tmp_path / "log.db")
+    _database(path, [(i, "s1", "user", f"hello {i}" if i != 3 else "😀", "2025-06-01 10:00:00") for i in range(1, 8)])
+    sessions = lambda: spark.read.format("sqlite").option("path", path).option("table", "sessions").load()
+    m = Memory(spark, str(tmp_path / "store"))
+    m.call("memory_store_turn", {"date": "2025-06-01", "role": "user", "content": "first"})
+    stream = spark.readStream.format("sqlite").option("path", path).load()
+    ingest.start_into(m, stream, sessions, str(tmp_path / "marks"), None).awaitTermination(120)
+    batch = spark.read.format("sqlite").option("path", path).load()
+    m.store_messages(ingest.transform(batch, sessions()))  # again
+    got = m.store.read("turns").orderBy("seq").collect()
+    assert [(r.seq, r.message_id) for r in got] == [(1, None), *((i + 1, i) for i in range(1, 8))]
+    assert len(m.read_resource("memory://raw/2025-06-01")["text"].splitlines()) == 8
+
+
+def test_an_encoder_that_fails_falls_back_and_loads_once(spark, tmp_path):
+    calls = []
+
+    def load():
+        calls.append(1)
+        raise OSError("no model")
+
+    m = Memory(spark, str(tmp_path / "store"), Encoder(load))
+    made = m.call("memory_create_fragment", {"date": "2025-06-01", "start_turn_id": "a", "end_turn_id": "b", "task_desc": "alpha", "result_desc": "", "tags": [], "topic_name": ""})
+    assert json.loads(made["content"][0]["text"])["embedding_mode"] == "fallback"
+    found = m.call("memory_search", {"query": "alpha"})
+    assert json.loads(found["content"][0]["text"])["results"][0]["score"] == 1 and len(calls) == 1
+    with pytest.raises(RuntimeError):
+        m.backfill()
+
+
+def test_backfill_and_import_into_the_store(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "store"), Encoder(letters()))
+    folder = tmp_path / "old"
+    for name in ("raw/2025-06-01", "fragments/2025-06-01", "daily", "topics"):
+        (folder / name).mkdir(parents=True)
+    (folder / "raw/2025-06-01/turns.jsonl").write_text('{"turn_id":"turn_0001","role":"user","content":"a","timestamp":"2025-06-01T10:00:00.000Z"}\n')
+    (folder / "fragments/2025-06-01/frag_007.md").write_text("# 任务：aab\n\n**日期**：2025-06-01\n**轮次**：turn_0001 ~ turn_0001\n**标签**：`x`\n**主题**：p\n\n## 摘要\n\nt\n\n## 结论\n\nr\n\n## 原文\n\n[用户]：a\n")
+    (folder / "daily/2025-06-01.md").write_text("day")
+    (folder / "topics/p.md").write_text("# 主题：p（2025-06-01 ~ 2025-06-01）\n\n**涵盖日期**：2025-06-01\n**状态**：进行中\n\n## 各阶段\n\n- 2025-06-01：s（→ daily/2025-06-01.md → 2025-06-01/frag_007）\n")
+    m.import_folder(str(folder))
+    assert {r.status: r["count"] for r in m.backfill().collect()} == {"ok": 1}
+    (hit,) = m.search([("q", "aa")]).collect()
+    assert (hit.fragment_id, hit.daily_summary, hit.topic_summary) == ("2025-06-01/frag_007", "day", "2025-06-01：s")
+    m.call("memory_create_fragment", {"date": "2025-06-01", "start_turn_id": "turn_0001", "end_turn_id": "turn_0001", "task_desc": "c", "result_desc": "", "tags": [], "topic_name": ""})
+    assert sorted(r.frag_no for r in m.store.read("fragments").collect()) == [7, 8]
+
+
+def test_table_statements_are_balanced():
+    code = "x CREATE TABLE a (p DECIMAL(10,2), q TEXT DEFAULT ')') ; create  table if not exists b(c int) CREATE INDEX i (c) CREATE TABLE broken (a"
+    assert listing.statements(code) == ["CREATE TABLE a (p DECIMAL(10,2), q TEXT DEFAULT ')')", "create  table if not exists b(c int)"]
