@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lamina.plans import catalogue
+from lamina.plans import catalogue, forms  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
