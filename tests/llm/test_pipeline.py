@@ -6,7 +6,7 @@ import pytest
 import test_lines
 import test_pii
 import test_quality
-import test_simhash
+import test_resemblance
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -53,9 +53,7 @@ def test_stages(spark, folder):
     assert {r.doc_id: r.text for r in out.collect()} == rows and out.where(F.col("n_chars") != F.length("text")).count() == 0
 
     out = stages["simhash_near_dedup"](spark, out, folder).cache()
-    ids = sorted(rows)
-    groups = test_simhash.brute_groups([test_simhash.brute_fp(rows[d]) for d in ids])
-    rows = {d: rows[d] for i, d in enumerate(ids) if groups[i] == i}
+    rows = {d: rows[d] for d in test_resemblance.brute_kept(list(rows.items()))}
     assert {r.doc_id: r.text for r in out.collect()} == rows
 
     out = stages["personal_data"](spark, out, folder).cache()
