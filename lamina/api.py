@@ -93,7 +93,7 @@ class Memory:
             hits = search.vector_search(self.store.read("vectors"), owned, vectors, k, agent)
         else:
             hits = search.keyword_search(owned, queries, k, agent)
-        return search.hydrate(hits, owned, self.store.read("daily"), self.store.read("topic_entries"))
+        return search.hydrate(hits, owned, self.store.read("daily"), self.store.read("topic_entries"), search.checked_k(k) * len(queries) <= search.FEW_HITS)
 
     # ---- tools ----
 

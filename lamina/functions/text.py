@@ -48,10 +48,15 @@ def tokens(text: Column) -> Column:
     """Distinct tokens: ideographs, pairs of ideographs that follow each other among the ideographs, and lower-cased words [A-Za-z_]\\w*."""
     text = F.coalesce(text, F.lit(""))
     han = F.regexp_extract_all(text, F.lit(f"[{HAN}]"), F.lit(0))
-    pairs = F.greatest(F.size(han) - 1, F.lit(0))
-    both = F.zip_with(F.slice(han, F.lit(1), pairs), F.slice(han, F.lit(2), pairs), lambda a, b: F.concat(a, b))
-    words = F.transform(F.regexp_extract_all(text, F.lit(r"[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0)), F.lower)
-    return F.array_distinct(F.concat(han, both, words))
+
+    def with_pairs(h: Column) -> Column:
+        pairs = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.concat(h, F.zip_with(F.slice(h, F.lit(1), pairs), F.slice(h, F.lit(2), pairs), lambda a, b: F.concat(a, b)))
+
+    # Bound once, as the element of a one-element array: each use of an expression inside a higher-order function is evaluated again.
+    ideographs = F.transform(F.array(han), with_pairs)[0]
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"[^\x00-\x7F]+", " ")), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0))
+    return F.array_distinct(F.concat(ideographs, words))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -13,6 +13,10 @@ from . import topics
 DEFAULT_K = 10
 #: Queries scored in one pass over the vectors; more are taken in blocks of this size.
 QUERY_BLOCK = 256
+#: Keyword queries that are scored as literals.
+FEW_QUERIES = 8
+#: Hits up to which they are broadcast.
+FEW_HITS = 100_000
 
 
 def checked_k(k: float | None) -> int:
@@ -63,21 +67,29 @@ def vector_search(vectors: DataFrame, fragments: DataFrame, queries: list[tuple[
 
 
 def keyword_search(fragments: DataFrame, queries: list[tuple[str, str]], k: int | None = None, agent: str | None = None) -> DataFrame:
-    """As vector_search, by token overlap. Fragments meet queries on shared tokens, so those without overlap are never paired."""
+    """As vector_search, by token overlap. A few queries are literals that each fragment is scored against in one projection, without a shuffle but
+    for the k best; of more, fragments meet queries on shared tokens, so those without overlap are never paired."""
     k = checked_k(k)
     spark = fragments.sparkSession
     asked = spark.createDataFrame(queries or [], "query_id string, query string").withColumn("_q", text.tokens(F.col("query")))
-    words = asked.select("query_id", F.size("_q").alias("_n"), F.explode("_q").alias("token"))
     own = owned_by(fragments, agent).select("fragment_id", text.tokens(text.keyword_text(F.col("task_desc"), F.col("result_desc"), F.col("turns_text"))).alias("_t"))
+    if 0 < len(queries) <= FEW_QUERIES:
+        literals = [(r.query_id, r._q) for r in asked.collect() if r._q]
+        score = lambda q: text.jaccard(F.col("_t"), F.array(*map(F.lit, q)))
+        scored = F.array(*[F.struct(F.lit(i).alias("query_id"), score(q).alias("score")) for i, q in literals]) if literals else F.expr("cast(array() as array<struct<query_id: string, score: double>>)")
+        hits = own.select("fragment_id", F.explode(scored).alias("s")).select("s.query_id", "fragment_id", "s.score").where("score > 0")
+        return best(hits, k)
+    words = asked.select("query_id", F.size("_q").alias("_n"), F.explode("_q").alias("token"))
     pairs = own.select("fragment_id", F.size("_t").alias("_m"), F.explode("_t").alias("token")).join(F.broadcast(words) if len(queries) <= QUERY_BLOCK else words, "token")
     shared = pairs.groupBy("query_id", "fragment_id").agg(F.count(F.lit(1)).alias("_s"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
     return best(shared.select("query_id", "fragment_id", (F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s"))).alias("score")), k)
 
 
-def hydrate(hits: DataFrame, fragments: DataFrame, daily: DataFrame, entries: DataFrame) -> DataFrame:
-    """Hits with their fragment's fields, rounded score, turn range, daily summary and topic summary (null without a topic)."""
+def hydrate(hits: DataFrame, fragments: DataFrame, daily: DataFrame, entries: DataFrame, few: bool = False) -> DataFrame:
+    """Hits with their fragment's fields, rounded score, turn range, daily summary and topic summary (null without a topic).
+    few: the hits are known to be few (k times the queries), so they are broadcast and no fragment's body is shuffled."""
     index = topics.index(entries).select("topic_slug", topics.summary().alias("topic_summary"))
-    rows = hits.join(fragments, "fragment_id").join(daily.select("date", F.nullif("summary_md", F.lit("")).alias("daily_summary")), "date", "left")
+    rows = fragments.join(F.broadcast(hits) if few else hits, "fragment_id").join(daily.select("date", F.nullif("summary_md", F.lit("")).alias("daily_summary")), "date", "left")
     rows = rows.join(index, (rows.topic_slug == index.topic_slug) & (rows.topic_name != ""), "left").drop(index.topic_slug)
     return rows.select(
         "query_id", "rank", "fragment_id", vector.round4(F.col("score")).alias("score"), "task_desc", "result_desc", "tags", "date", F.concat_ws(" ~ ", "start_turn_id", "end_turn_id").alias("turns_range"),

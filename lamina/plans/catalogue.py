@@ -111,7 +111,7 @@ JOIN frags f USING (fragment_id) LEFT JOIN daily d ON d.date = f.date LEFT JOIN
 def search_hydrated(spark: SparkSession, sf: str) -> DataFrame:
     frags = derive.fragments(spark, sf)
     hits = search.vector_search(derive.vectors(spark, sf, frags), frags, [("q", derive.vector_of(spark, sf, QUERY_VEC))], K, AGENT)
-    rows = search.hydrate(hits, frags, derive.daily(frags), derive.topic_entries(frags))
+    rows = search.hydrate(hits, frags, derive.daily(frags), derive.topic_entries(frags), few=True)
     return rows.drop("query_id").withColumn("tags", F.concat_ws(",", "tags"))
 
 

@@ -192,7 +192,7 @@ def search_fallback(spark: SparkSession, sf: str) -> DataFrame:
     frags = derive.fragments(spark, sf)
     asked = table(spark, sf, "conversations").where("conv_id = 7").orderBy("turn").select("text").first()[0]
     hits = search.keyword_search(frags, [("q", asked)])
-    rows = search.hydrate(hits, frags, derive.daily(frags), derive.topic_entries(frags))
+    rows = search.hydrate(hits, frags, derive.daily(frags), derive.topic_entries(frags), few=True)
     return rows.select("rank", "fragment_id", "score", "task_desc", "date", "daily_summary", "topic_summary")
 
 

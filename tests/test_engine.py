@@ -291,3 +291,14 @@ def test_backfill_and_import_into_the_store(spark, tmp_path):
 def test_table_statements_are_balanced():
     code = "x CREATE TABLE a (p DECIMAL(10,2), q TEXT DEFAULT ')') ; create  table if not exists b(c int) CREATE INDEX i (c) CREATE TABLE broken (a"
     assert listing.statements(code) == ["CREATE TABLE a (p DECIMAL(10,2), q TEXT DEFAULT ')')", "create  table if not exists b(c int)"]
+
+
+def test_few_and_many_keyword_queries_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "Beta", "gamma_1", "粒子", "系统", "é", "delta"])
+    frags = _frags(spark, [(f"f{i}", " ".join(word() for _ in range(rng.randrange(6))), "", None) for i in range(60)])
+    asked = [("a", "alpha 粒子系"), ("b", "BETA gamma_1 gamma_1"), ("c", "é !"), ("d", "delta")]
+    run = lambda: [tuple(r) for r in search.keyword_search(frags, asked, 7).select("query_id", "rank", "fragment_id", F.round("score", 9)).orderBy("query_id", "rank").collect()]
+    few = run()
+    monkeypatch.setattr(search, "FEW_QUERIES", 0)
+    assert few == run() and len({r[0] for r in few}) == 3
