@@ -59,17 +59,17 @@ def repeated_chunks(docs: DataFrame, key: str, text: str, window: int = WINDOW,
     hot = groups.where(F.col("copies") > most).select("hash", salts.alias("salts"))
     salted = rows.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "t", "first"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     spread = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    # Sort-merge joins at every size: copies grow with the table.
+    # A sort-merge join at every size: copies grow with the table.
     met = salted.join(groups.select("hash", "place", "copies", spread).hint("merge"), ["hash", "salt"])
     # Both branches read the same columns and compare by order, which does not become a key of the join, so that chunk bodies are shuffled once.
     least = met.where(place <= F.col("place")).groupBy("hash").agg(F.min("body").alias("kept"), F.min("n").alias("kept_n"), F.min("copies").alias("copies")).select("hash", "kept", "kept_n", spread)
-    return met.where(place > F.col("place")).join(least.hint("merge"), ["hash", "salt"]).where("body <= kept and body >= kept and n <= kept_n and n >= kept_n").select("doc", "t", "first", "n")
+    return met.where(place > F.col("place")).join(least, ["hash", "salt"]).where("body <= kept and body >= kept and n <= kept_n and n >= kept_n").select("doc", "t", "first", "n")
 
 
 def remove_chunks(docs: DataFrame, key: str, text: str, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the lines of repeated chunks taken out of `text`, and _n_lines and _n_removed."""
     gone = repeated_chunks(docs, key, text, window, divisor, min_lines).groupBy(F.col("doc").alias("_lamina_doc"), F.col("t").alias("_lamina_t")).agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("_lamina_gone"))
-    joined = docs.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("_lamina_doc")) & (F.xxhash64(text) == F.col("_lamina_t")), "left").drop("_lamina_doc", "_lamina_t")
+    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("_lamina_doc")) & (F.xxhash64(text) == F.col("_lamina_t")), "left").drop("_lamina_doc", "_lamina_t")
     lines = F.split(text, "\n")
     size = F.size(lines)
     # What stays: from the end of each gone chunk to the start of the next.
