@@ -49,7 +49,11 @@ def vector_scores(vectors: DataFrame, queries: list[tuple[str, list[float]]], k:
                 hit = np.flatnonzero(score > 0)  # not for NaN
                 if len(hit) > k:
                     least = np.partition(score[hit], len(hit) - k)[len(hit) - k] if k else np.inf
-                    hit = hit[score[hit] >= least]
+                    sure, ties = hit[score[hit] > least], hit[score[hit] == least]
+                    if len(sure) + len(ties) > k:  # equal vectors: the smaller ids count, so that a batch leaves k rows at most
+                        names = ids.take(pa.array(ties)).to_pylist()
+                        ties = ties[sorted(range(len(ties)), key=names.__getitem__)[: k - len(sure)]]
+                    hit = np.concatenate([sure, ties])
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(hit), pa.string()), ids.take(pa.array(hit)), pa.array(score[hit])], ["query_id", "fragment_id", "score"])
 
     return vectors.select("fragment_id", "embedding").mapInArrow(run, "query_id string, fragment_id string, score double")

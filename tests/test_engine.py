@@ -302,3 +302,11 @@ def test_few_and_many_keyword_queries_agree(spark, monkeypatch):
     few = run()
     monkeypatch.setattr(search, "FEW_QUERIES", 0)
     assert few == run() and len({r[0] for r in few}) == 3
+
+
+def test_equal_vectors_leave_few_rows_a_batch(spark):
+    rows = [(f"f{(i * 37) % 500:03d}", [1.0, 0.0]) for i in range(500)] + [("z", [1.0, 0.1])]
+    vectors = spark.createDataFrame(rows, "fragment_id string, embedding array<double>").coalesce(1)
+    scored = search.vector_scores(vectors, [("q", [1.0, 0.0])], 5)
+    assert scored.count() <= 5 * 4 and search.vector_scores(vectors, [("q", [1.0, 0.0])], 0).count() == 0
+    assert [r.fragment_id for r in search.best(scored, 5).orderBy("rank").collect()] == [f"f{i:03d}" for i in range(5)]
