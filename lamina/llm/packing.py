@@ -2,8 +2,8 @@
 
 The histogram of lengths over all rows goes through a dynamic program that picks the bucket boundaries
 with the least padding when every row is padded to its bucket's boundary; ties take the smaller boundary. Boundaries
-are exact for up to DISTINCT different lengths, whose sum is over 34 billion words at least; only a table with more has lengths beyond
-EXACT rounded up to one of EXACT / 2 steps an octave, which bounds the histogram at under a million rows whatever the input. Batches then form inside each bucket: rows are
+are exact for any number of different lengths: the driver holds some 200 bytes for each (m different lengths have a sum of m * m / 2 words at least, so a
+million of them mean 500 billion words), and looks at DISTINCT candidates at once. Batches then form inside each bucket: rows are
 numbered without gaps and every budget // boundary of them (one at least) make a batch.
 
 Defined results: a null or empty text has length 0; a row longer than the budget is a batch of its own; rows
@@ -15,6 +15,8 @@ those names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,49 +37,68 @@ def rounded(length: Column, exact: int = EXACT) -> Column:
     return F.when(length <= exact, length).otherwise(F.ceil(length / step).cast("long") * step)
 
 
-def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+def boundaries(lengths: Sequence[int], counts: Sequence[int], buckets: int) -> list[int]:
     """Upper boundaries, ascending, of at most `buckets` buckets with the least total padding. Python integers keep sums exact.
 
     best[k][j]: least padding of the first j lengths in k buckets. The best split never moves left as j
-    grows, so each layer is solved by divide and conquer in O(m log m)."""
+    grows, so each layer is solved by divide and conquer in O(m log m), many intervals at once."""
     m = len(lengths)
     if not m:
         return []
-    size = np.array(lengths, object) if max(lengths) * sum(counts) >= 1 << 62 else np.array(lengths, np.int64)
-    n = np.concatenate([[0], np.cumsum(np.array(counts, size.dtype))])
-    s = np.concatenate([[0], np.cumsum(size * np.array(counts, size.dtype))])
+    kind = object if int(max(lengths)) * sum(map(int, counts)) >= 1 << 62 else np.int64
+    size, count = np.array(lengths, kind), np.array(counts, kind)
+    n = np.concatenate([np.zeros(1, kind), np.cumsum(count)])
+    s = np.concatenate([np.zeros(1, kind), np.cumsum(size * count)])
     buckets = min(buckets, m)
-    best = np.concatenate([[0], size * n[1:] - s[1:]])
+    best = np.concatenate([np.zeros(1, kind), size * n[1:] - s[1:]])
     splits = []
     for k in range(2, buckets + 1):
-        new, split = best.copy(), np.zeros(m + 1, np.int64)
-        todo = [(k, m, k - 1, m - 1)]
+        new, split = best.copy(), np.zeros(m + 1, np.int32 if m < 1 << 31 else np.int64)
+        todo = [np.array([[k], [m], [k - 1], [m - 1]])]
         while todo:
             a, b, lo, hi = todo.pop()
-            if a > b:
-                continue
             j = (a + b) // 2
-            i = np.arange(lo, min(hi, j - 1) + 1)
-            cost = best[i] + size[j - 1] * (n[j] - n[i]) - (s[j] - s[i])
-            at = int(np.argmin(cost))
-            new[j], split[j] = cost[at], i[at]
-            todo += [(a, j - 1, lo, int(i[at])), (j + 1, b, int(i[at]), hi)]
+            new[j], at = _least(size, n, s, best, j, lo, np.minimum(hi, j - 1))
+            split[j] = at
+            below = np.concatenate([np.stack([a, j - 1, lo, at]), np.stack([j + 1, b, at, hi])], axis=1)
+            below = below[:, below[0] <= below[1]]
+            todo += [below[:, x : x + DISTINCT] for x in range(0, below.shape[1], DISTINCT)]
         best = new
         splits.append(split)
-    out, j = [lengths[-1]], m
+    out, j = [int(size[-1])], m
     for split in reversed(splits):
         j = int(split[j])
-        out.append(lengths[j - 1])
+        out.append(int(size[j - 1]))
     return out[::-1]
 
 
+def _least(size: np.ndarray, n: np.ndarray, s: np.ndarray, best: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least cost of a split in [lo, hi] before it and the first split that has it; DISTINCT splits are looked at at once."""
+    ends = np.cumsum(hi - lo + 1)
+    begins = ends - (hi - lo + 1)
+    cost, at = np.zeros(len(j), best.dtype), np.full(len(j), -1)
+    for p in range(0, int(ends[-1]), DISTINCT):
+        q = min(p + DISTINCT, int(ends[-1]))
+        own = np.arange(np.searchsorted(ends, p, "right"), np.searchsorted(ends, q - 1, "right") + 1)
+        first = np.maximum(begins[own], p) - p
+        each = np.diff(np.r_[first, q - p])
+        i = np.arange(p, q) + np.repeat(lo[own] - begins[own], each)
+        to = np.repeat(j[own], each)
+        costs = best[i] + size[to - 1] * (n[to] - n[i]) - (s[to] - s[i])
+        least = np.minimum.reduceat(costs, first)
+        hits = np.flatnonzero(costs == np.repeat(least, each))
+        hits = hits[np.searchsorted(hits, first)]
+        better = (at[own] < 0) | (least < cost[own])
+        cost[own[better]], at[own[better]] = least[better], i[hits[better]]
+    return cost, at
+
+
 def pack(df: DataFrame, key: str, length: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """df with bucket (its boundary), batch (from 0 in each bucket), position (from 0 in each batch) and padding."""
-    counts = cut(df.groupBy(F.col(length).alias("length")).count())
-    if counts.count() > DISTINCT:
-        counts = counts.groupBy(rounded(F.col("length")).alias("length")).agg(F.sum("count").alias("count"))
-    histogram = counts.orderBy("length").collect()
-    tops = boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
+    histogram = df.groupBy(F.col(length).cast("long").alias("length")).count().toArrow().sort_by("length")
+    if histogram["length"].null_count:
+        raise ValueError("a length is null")
+    tops = boundaries(histogram["length"].to_numpy(), histogram["count"].to_numpy(), buckets)
     bucket = F.lit(None).cast("long")
     for top in reversed(tops):
         bucket = F.when(F.col(length) <= top, F.lit(top).cast("long")).otherwise(bucket)
@@ -100,7 +121,7 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The dynamic program layer by layer; exact below EXACT words, as in the test tables."""
+    """The dynamic program layer by layer."""
     layers = ["f1 AS (SELECT j, len * n - s AS cost, 0 AS split FROM p)"]
     for k in range(2, BUCKETS + 1):
         layers.append(
