@@ -40,7 +40,7 @@ MARK = "▁"
 LONGEST = 61
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES, TASKS, GROUPS_PER_TASK = 4 << 20, 1 << 15, 4
-GATHER = 1 << 16
+GATHER, ROWS = 1 << 16, 100
 _MARK = MARK.encode()
 
 
@@ -324,6 +324,7 @@ def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> Da
     prefix = model.prefix
 
     def run(batches):
+        release()
         for batch in batches:
             column, row = batch.column(1), 0
             while row < batch.num_rows:
@@ -364,8 +365,9 @@ def send(docs: DataFrame, key: str, text: str, model: Model, buckets: int) -> Da
     return docs.select(key, text).mapInArrow(run, _SENT.format(kind))
 
 
-def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame:
-    """(key, n_ids, ids, check): ids as little-endian numbers, 2 bytes each for models of up to 65,536 pieces, else 4; check is the XXH64 of the text, seed 42."""
+def encode(docs: DataFrame, key: str, text: str, path: str = MODEL, back: str | None = None) -> DataFrame:
+    """(key, n_ids, ids, check): ids as little-endian numbers, 2 bytes each for models of up to 65,536 pieces, else 4; check is the XXH64 of the text, seed 42.
+    back: name of one more column, the texts that `decode` makes of the ids; they are made where the ids are, so that a task has one Python worker and not two."""
     model = load(path)
     kind = dict(docs.select(key).dtypes)[key]
     spark = docs.sparkSession
@@ -391,6 +393,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
     longest, lowest = model.longest, min(model.scores.values()) - 10
     ids, byte_ids, unknown, scores, bpe, stored = model.ids, model.bytes, model.unknown, model.scores, model.bpe, model.stored
     width = np.dtype(stored).itemsize
+    plain, prefix = model.plain, model.prefix
 
     def resolve(sent: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
         release()
@@ -424,7 +427,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
             out.append((batch, bucket, _squeeze(each.astype(np.uint32)), _squeeze(values)))
         return pd.DataFrame(out, columns=["key", "bucket", "counts", "values"])
 
-    back = sent.groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, bucket long, counts binary, values binary").repartition(tasks, "key")
+    cuts = sent.groupBy("key").cogroup(masks.groupBy("key")).applyInPandas(resolve, "key long, bucket long, counts binary, values binary").repartition(tasks, "key")
 
     def assemble(own: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
         release()
@@ -448,11 +451,17 @@ def encode(docs: DataFrame, key: str, text: str, path: str = MODEL) -> DataFrame
             keys += list(ids)
             counts.append(np.diff(cuts) // width)
             checks.append(hashes)
-        return pd.DataFrame({"_id": pd.Series(keys, dtype=object), "n_ids": np.concatenate([np.zeros(0, np.int64), *counts]), "ids": out, "check": np.concatenate([np.zeros(0, np.int64), *checks])})
-
-    rows = sent.groupBy("key").cogroup(back.groupBy("key")).applyInPandas(assemble, f"_id {kind}, n_ids long, ids binary, check long")
+        del size, values, start
+        columns = {"_id": pd.Series(keys, dtype=object), "n_ids": np.concatenate([np.zeros(0, np.int64), *counts]), "ids": out, "check": np.concatenate([np.zeros(0, np.int64), *checks])}
+        if back:
+            texts = [x for i in range(0, len(out), ROWS) for x in _texts(out[i : i + ROWS], plain, stored, prefix).to_pylist()]
+            columns["_text"] = pd.Series(texts, dtype=object)
+        return pd.DataFrame(columns)
+
+    rows = sent.groupBy("key").cogroup(cuts.groupBy("key")).applyInPandas(assemble, f"_id {kind}, n_ids long, ids binary, check long" + (", _text string" if back else ""))
     # Groups are small, so that they fit in memory; a task takes several of them, so that files are not.
-    return rows.coalesce(max(1, tasks // GROUPS_PER_TASK)).withColumnRenamed("_id", key)
+    rows = rows.coalesce(max(1, tasks // GROUPS_PER_TASK)).withColumnRenamed("_id", key)
+    return rows.withColumnRenamed("_text", back) if back else rows
 
 
 def _texts(ids: list[bytes | None], plain: list[bytes], stored: str, prefix: bool) -> pa.Array:
@@ -495,8 +504,8 @@ def decode(rows: DataFrame, key: str, ids: str, path: str = MODEL, keep: tuple[s
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], _texts(part.column(1).to_pylist(), plain, stored, prefix)], [key, *keep, "text"])
             release()
 
@@ -504,6 +513,5 @@ def decode(rows: DataFrame, key: str, ids: str, path: str = MODEL, keep: tuple[s
 
 
 def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "n_ids", "ids", F.sha2("ids", 256).alias("ids_sha256"), "check")
-    back = decode(rows, "doc_id", "ids", keep=("n_ids", "ids_sha256", "check"))
-    return back.select("doc_id", "n_ids", "ids_sha256", (F.xxhash64("text") == F.col("check")).alias("round_trip"))
+    rows = encode(documents(spark, sf_dir), "doc_id", "text", back="text")
+    return rows.select("doc_id", "n_ids", F.sha2("ids", 256).alias("ids_sha256"), (F.xxhash64("text") == F.col("check")).alias("round_trip"))

@@ -99,3 +99,23 @@ def test_decoding_of_any_ids():
         for data, text in zip(own, got):
             raw = b"".join(m.plain[i] for i in np.frombuffer(data or b"", m.stored))
             assert text == (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+def test_query_has_one_python_worker_a_task(spark, tmp_path):
+    """The texts made beside the ids are those of `decode`, and no task of the query holds two Python workers."""
+    rows = list(enumerate(TEXTS + texts(250)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    query = pieces.op6_piece_lattice(spark, str(tmp_path))
+    node, python = query._jdf.queryExecution().optimizedPlan(), 0
+    while node.children().size() == 1:
+        python += node.nodeName() in ("MapInArrow", "PythonMapInArrow")
+        node = node.children().head()
+    assert node.nodeName().startswith("FlatMapCoGroups") and python == 0
+    out = pieces.encode(df, "doc_id", "text", back="read").cache()
+    assert out.columns == ["doc_id", "n_ids", "ids", "check", "read"]
+    assert {r.doc_id: r.read for r in out.collect()} == {r.doc_id: r.text for r in pieces.decode(out, "doc_id", "ids").collect()}
+    digests = {r.doc_id: (r.n_ids, r.s) for r in out.selectExpr("doc_id", "n_ids", "sha2(ids, 256) AS s").collect()}
+    got = query.collect()
+    assert {r.doc_id: (r.n_ids, r.ids_sha256) for r in got} == digests and len(got) == len(rows)
+    assert {r.doc_id for r in got if not r.round_trip} == {d for d, t in rows if pieces.MARK in (t or "")}
