@@ -32,7 +32,8 @@ def word_count(text: Column) -> Column:
 
 
 def rounded(length: Column, exact: int = EXACT) -> Column:
-    """Lengths up to `exact` as they are, longer ones rounded up to a multiple of a power of two that keeps exact / 2 steps an octave."""
+    """Lengths up to `exact` as they are, longer ones rounded up to a multiple of a power of two that keeps exact / 2 steps an octave.
+    Nothing here uses it: `pack`, and so op 1 and the pipeline's packing stage, take every length as it is."""
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length - 1, F.lit(1)))) - int(np.log2(exact)) + 1, F.lit(0))).cast("long")
     return F.when(length <= exact, length).otherwise(F.ceil(length / step).cast("long") * step)
 

@@ -32,3 +32,13 @@ def test_boundaries_do_not_depend_on_the_steps(monkeypatch):
     for most in (1, 3, 7):
         monkeypatch.setattr(packing, "DISTINCT", most)
         assert [packing.boundaries(*case) for case in cases] == whole
+
+
+def test_packing_stage_takes_lengths_as_they_are(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "DISTINCT", 3)
+    values = [0, 5, 40001, 70003, 100001]
+    docs = spark.createDataFrame([(i, "w " * v, "en", "x", 2 * v) for i, v in enumerate(values)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.n_tokens: (r.bucket, r.padding) for r in corpus_pipeline.packing_stage(spark, docs, "").collect()}
+    assert got == {v: (v, 0) for v in values}
